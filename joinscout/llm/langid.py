@@ -31,6 +31,8 @@ LOG_BUCKETS = 15
 BUCKETS = ORDERS << LOG_BUCKETS
 #: Labelled documents to learn from, for each language, in expectation.
 SAMPLE = 6000
+#: Languages to learn, the most frequent first; bounds the matrix.
+LANGUAGES = 256
 UNKNOWN = "und"
 _STEP = np.uint32(0x9E3779B1)
 _letters: np.ndarray | None = None
@@ -119,7 +121,8 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from the rows of `docs` (doc_id, text, lang) that have a lang, at most about `sample` for each."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    rates = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count(F.lit(1))).alias("rate"))
+    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    rates = common.select("lang", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")).alias("rate"))
     chance = (F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(F.lit((1 << 40) - 1))) / F.lit(float(1 << 40))
     picked = labelled.join(F.broadcast(rates), "lang").where(chance < F.col("rate")).select("text", "lang")
     counts = picked.mapInArrow(_counted, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))

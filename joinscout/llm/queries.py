@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinscout.llm import chat, langid, quality, simhash
+from joinscout.llm import chat, langid, quality, secrets, simhash
 from joinscout.llm.common import crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_policy(book).select("doc_id", *quality.MEASURES[:5], "base_failed", "kept", "failed_bits")
 
 
+def _is_kind(i: int):
+    return lambda x: x["kind"] == i
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = {kind: F.size(F.filter("spans", _is_kind(i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(secrets.KINDS)}
+    base = F.filter("spans", lambda x: x["kind"] < len(secrets.BASE))
+    return found.select("doc_id", *(n[k] for k in secrets.BASE), F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "<|im_end|><|im_start|>assistant ok"
     added = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
@@ -37,7 +48,37 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op5_chat_formatting, op8_language_id, op9_simhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op4_secret_scans, op5_chat_formatting, op8_language_id, op9_simhash_near_dedup)}
+
+def _secrets_sql() -> str:
+    """The same patterns and links in DuckDB's SQL; kinds are numbered as in secrets.KINDS."""
+    kinds = []
+    for no, (kind, rx) in enumerate(secrets.PATTERNS.items()):
+        group, least = secrets.LEAST.get(kind, (0, 0))
+        quoted = rx.replace("'", "''")
+        counts = f"length(v) = {secrets.KEY_CHARS}" if kind == "key" else f"length(v) >= {least}"
+        kinds.append(f"""SELECT r, {no} AS kind, k, length(g) AS gap, length(m) AS chars, {counts} AS counts FROM (
+  SELECT r, unnest(range(1, len(ms) + 1)) AS k, unnest(gaps[1:len(ms)]) AS g, unnest(ms) AS m, unnest(vs) AS v FROM (
+    SELECT r, string_split_regex(t, '{quoted}') AS gaps, regexp_extract_all(t, '{quoted}', 0) AS ms, regexp_extract_all(t, '{quoted}', {group}) AS vs FROM d) WHERE len(ms) > 0)""")
+    isin = {k: "kind IN (" + ", ".join(str(secrets.KINDS.index(x)) for x in v) + ")" for k, v in {"i": secrets.IDENTIFIERS, "s": secrets.SECRETS, "e": secrets.ENDPOINTS, "b": secrets.BASE}.items()}
+    near = {k: f"(coalesce(s - {k}_before <= {secrets.SCOPE}, false) OR coalesce({k}_after - e <= {secrets.SCOPE}, false))" for k in "ise"}
+    windows = ", ".join(f"max(e) FILTER (WHERE {c}) OVER w AS {k}_before, min(s) FILTER (WHERE {c}) OVER x AS {k}_after" for k, c in isin.items())
+    name = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(secrets.KINDS)) + " END"
+    one = f"{name} || ':' || s || ':' || e"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+p AS ({" UNION ALL ".join(kinds)}),
+a AS (SELECT *, sum(gap + chars) OVER (PARTITION BY r, kind ORDER BY k) AS e FROM p),
+b AS (SELECT r, kind, (e - chars)::BIGINT AS s, e::BIGINT AS e FROM a WHERE counts),
+c AS (SELECT *, {windows} FROM b WINDOW w AS (PARTITION BY r ORDER BY s, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+      x AS (PARTITION BY r ORDER BY s, kind ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+f AS (SELECT * FROM c WHERE {isin["b"]} OR (NOT coalesce(b_before > s, false) AND NOT coalesce(b_after < e, false)
+      AND ({isin["i"]} AND {near["s"]} OR {isin["s"]} AND ({near["i"]} OR {near["e"]}) OR {isin["e"]} AND {near["s"]})))
+SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+       sha256(coalesce(string_agg({one}, ',' ORDER BY s, kind) FILTER (WHERE kind < 3), '')) AS base_sha256,
+       coalesce(string_agg({one}, ',' ORDER BY s, kind) FILTER (WHERE kind IS NOT NULL), '') AS spans
+FROM d LEFT JOIN f USING (r) GROUP BY d.r, doc_id"""
+
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": r"""
@@ -61,6 +102,7 @@ b AS (SELECT *, """
     + f""" AS bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & {quality.BASE_MASK}) <> 0 AS base_failed,
        bits & {quality.BASE_MASK | quality.PRODUCTION.mask} = 0 AS kept, bits::BIGINT AS failed_bits FROM b""",
+    "op4_secret_scans": _secrets_sql(),
     "op5_chat_formatting": """
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
