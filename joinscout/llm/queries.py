@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinscout.llm import chat, langid, quality, secrets, simhash
+from joinscout.llm import chat, langid, quality, secrets, simhash, substrings
 from joinscout.llm.common import crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_segments(turns.unionByName(added)))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = crc_of_id("doc_id") % 3 == 1
@@ -48,7 +53,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op4_secret_scans, op5_chat_formatting, op8_language_id, op9_simhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op4_secret_scans, op5_chat_formatting, op6_substring_dedup, op8_language_id, op9_simhash_near_dedup)}
 
 def _secrets_sql() -> str:
     """The same patterns and links in DuckDB's SQL; kinds are numbered as in secrets.KINDS."""
@@ -115,4 +120,14 @@ a AS (SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr
                       AND (NOT last OR role IN ('user', 'assistant'))) AS valid
       FROM o GROUP BY conv_id)
 SELECT * FROM a""",
+    "op6_substring_dedup": r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, ws FROM w WHERE len(ws) >= 20),
+k AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS h FROM p),
+g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM k),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM g WHERE n > 1),
+r AS (SELECT doc_id, list(i) AS gone, count(*) AS n FROM c GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+       sha256(array_to_string(list_filter(ws, lambda x, i: NOT coalesce(list_contains(gone, i), false)), ' ')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)""",
 }
