@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinscout.llm import chat, langid, quality, secrets, simhash, substrings
+from joinscout.llm import chat, langid, packing, quality, secrets, simhash, substrings
 from joinscout.llm.common import crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.ledger(table(spark, sf_dir, "documents"))
     return quality.apply_policy(book).select("doc_id", *quality.MEASURES[:5], "base_failed", "kept", "failed_bits")
@@ -53,7 +58,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op4_secret_scans, op5_chat_formatting, op6_substring_dedup, op8_language_id, op9_simhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_secret_scans, op5_chat_formatting, op6_substring_dedup, op8_language_id, op9_simhash_near_dedup)}
 
 def _secrets_sql() -> str:
     """The same patterns and links in DuckDB's SQL; kinds are numbered as in secrets.KINDS."""
