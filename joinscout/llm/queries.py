@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinscout.llm import chat, langid, packing, quality, secrets, simhash, substrings
+from joinscout.llm import bpe, chat, langid, packing, quality, secrets, simhash, substrings
 from joinscout.llm.common import crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = crc_of_id("doc_id") % 3 == 1
@@ -58,7 +64,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_secret_scans, op5_chat_formatting, op6_substring_dedup, op8_language_id, op9_simhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_secret_scans, op5_chat_formatting, op6_substring_dedup, op7_byte_bpe, op8_language_id, op9_simhash_near_dedup)}
 
 def _secrets_sql() -> str:
     """The same patterns and links in DuckDB's SQL; kinds are numbered as in secrets.KINDS."""
