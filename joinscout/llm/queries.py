@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinscout.llm import bpe, chat, langid, packing, quality, secrets, simhash, substrings
+from joinscout.llm import bpe, chat, html_text, langid, packing, quality, secrets, simhash, substrings
 from joinscout.llm.common import crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_policy(book).select("doc_id", *quality.MEASURES[:5], "base_failed", "kept", "failed_bits")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def _is_kind(i: int):
     return lambda x: x["kind"] == i
 
@@ -64,7 +68,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_secret_scans, op5_chat_formatting, op6_substring_dedup, op7_byte_bpe, op8_language_id, op9_simhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_html_extraction, op4_secret_scans, op5_chat_formatting, op6_substring_dedup, op7_byte_bpe, op8_language_id, op9_simhash_near_dedup)}
 
 def _secrets_sql() -> str:
     """The same patterns and links in DuckDB's SQL; kinds are numbered as in secrets.KINDS."""
