@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinscout.llm import bpe, chat, html_text, langid, packing, quality, secrets, simhash, substrings
+from joinscout.llm import bpe, chat, html_text, langid, neighbours, packing, quality, secrets, simhash, substrings
 from joinscout.llm.common import crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,7 +68,11 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_html_extraction, op4_secret_scans, op5_chat_formatting, op6_substring_dedup, op7_byte_bpe, op8_language_id, op9_simhash_near_dedup)}
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_html_extraction, op4_secret_scans, op5_chat_formatting, op6_substring_dedup, op7_byte_bpe, op8_language_id, op9_simhash_near_dedup, op10_nearest_neighbours)}
 
 def _secrets_sql() -> str:
     """The same patterns and links in DuckDB's SQL; kinds are numbered as in secrets.KINDS."""
