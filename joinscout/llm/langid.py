@@ -141,15 +141,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(langs, np.asfortranarray(np.log(table)), np.log(prior / prior.sum()) if len(langs) else prior)
 
 
-def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred and score to each row; narrow, without a shuffle."""
+def classify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the language and its probability to each row, named by `names`; narrow, without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            names, score = shared.value.predict(texts)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], names=[*part.schema.names, "lang_pred", "score"])
+            langs, score = shared.value.predict(texts)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score)], names=[*part.schema.names, *names])
 
-    source = docs.drop("lang_pred", "score")
-    schema = T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    source = docs.drop(*names)
+    schema = T.StructType([*source.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return source.mapInArrow(scored, schema)

@@ -224,36 +224,43 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in slices(batches):
-        ranges = part.column(part.schema.get_field_index("_ranges"))
-        sizes = ranges.fill_null([]).value_lengths().to_pylist() if part.num_rows else []
-        flat = ranges.flatten()
-        begins, ends = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-        kept, n_words, n_removed, at = [], [], [], 0
-        for text, size in zip(texts, sizes, strict=True):
-            own = text.encode("utf-8", "surrogatepass").split() if text else []
-            n_words.append(len(own))
-            if size:
-                edge = np.zeros(len(own) + 1, np.int64)
-                np.add.at(edge, begins[at : at + size], 1)
-                np.add.at(edge, ends[at : at + size], -1)
-                keep = np.cumsum(edge[:-1]) == 0
-                own = [w for w, k in zip(own, keep.tolist(), strict=True) if k]
-                at += size
-            n_removed.append(n_words[-1] - len(own))
-            kept.append(b" ".join(own).decode("utf-8", "surrogatepass"))
-        names = [n for n in part.schema.names if n != "_ranges"]
-        rest = [part.column(part.schema.get_field_index(n)) for n in names]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "kept"])
-
-
-def deduplicate(docs: DataFrame) -> DataFrame:
+def _applied(added: tuple[str, str, str]):
+    def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
+            yield _apply(part, texts, added)
+
+    return applied
+
+
+def _apply(part: pa.RecordBatch, texts: list[str | None], added: tuple[str, str, str]) -> pa.RecordBatch:
+    ranges = part.column(part.schema.get_field_index("_ranges"))
+    sizes = ranges.fill_null([]).value_lengths().to_pylist() if part.num_rows else []
+    flat = ranges.flatten()
+    begins, ends = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+    kept, n_words, n_removed, at = [], [], [], 0
+    for text, size in zip(texts, sizes, strict=True):
+        own = text.encode("utf-8", "surrogatepass").split() if text else []
+        n_words.append(len(own))
+        if size:
+            edge = np.zeros(len(own) + 1, np.int64)
+            np.add.at(edge, begins[at : at + size], 1)
+            np.add.at(edge, ends[at : at + size], -1)
+            keep = np.cumsum(edge[:-1]) == 0
+            own = [w for w, k in zip(own, keep.tolist(), strict=True) if k]
+            at += size
+        n_removed.append(n_words[-1] - len(own))
+        kept.append(b" ".join(own).decode("utf-8", "surrogatepass"))
+    names = [n for n in part.schema.names if n != "_ranges"]
+    rest = [part.column(part.schema.get_field_index(n)) for n in names]
+    return pa.RecordBatch.from_arrays([*rest, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[*names, *added])
+
+
+def deduplicate(docs: DataFrame, added: tuple[str, str, str] = ("n_words", "n_removed", "kept")) -> DataFrame:
     """Adds n_words, n_removed and `kept` (the kept words joined by one space) to each row; they replace clashing columns."""
-    source = docs.drop("n_words", "n_removed", "kept")
+    source = docs.drop(*added)
     scratch = Scratch(docs.sparkSession, "substrings")
     ranges = repeated_ranges(source.select("doc_id", F.col("text").cast("string").alias("text")), scratch)
     by_doc = ranges.groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("start", "end")).alias("_ranges"))
     joined = source.join(by_doc, (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)) == by_doc._doc) & (F.xxhash64(F.col("text").cast("string")) == by_doc._hash), "left").drop("_doc", "_hash")
-    schema = T.StructType([*source.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return joined.mapInArrow(_applied, schema)
+    schema = T.StructType([*source.schema.fields, *(T.StructField(n, k) for n, k in zip(added, (T.LongType(), T.LongType(), T.StringType()), strict=True))])
+    return joined.mapInArrow(_applied(added), schema)
