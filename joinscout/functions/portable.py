@@ -68,8 +68,8 @@ def simhash(x: Column, bits: int = BITS, n: int = BUCKETS) -> Column:
     """
 
     def bit(found: Column, row: list[int]) -> Column:
-        plane = F.array(*map(F.lit, row))
-        total = F.aggregate(found, F.lit(0), lambda acc, b: acc + F.element_at(plane, (b + 1).cast("int")))
+        plane = F.lit("".join("+" if x > 0 else "-" for x in row))
+        total = F.aggregate(found, F.lit(0), lambda acc, b: acc + F.when(F.substring(plane, (b + 1).cast("int"), 1) == "+", 1).otherwise(-1))
         return F.when(total > 0, F.lit("1")).otherwise(F.lit("0"))
 
     hashed = F.transform(F.array(buckets(x, n)), lambda found: F.concat(*(bit(found, row) for row in signs(bits, n))))

@@ -7,6 +7,7 @@ tables are enumerated (by name), so both directions agree.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,19 +73,25 @@ def _grow(frontier: DataFrame, links: DataFrame) -> DataFrame:
     return step.where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
 
 
-def _levels(links: DataFrame, longest: int, grow) -> list[DataFrame]:
-    """Paths of 1, 2, ... vertices; a level with no paths ends the list."""
+#: Stores a frame under a name and reads it back.
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def _levels(links: DataFrame, longest: int, grow, keep: Keep | None) -> list[DataFrame]:
+    """Paths of 1, 2, ... vertices. Levels are stored by `keep`, if given, so that each is made once."""
+    links = keep(links, "links") if keep else links
     level = links.select(F.array("src").alias("path")).distinct()
     out = [level]
-    for _ in range(longest - 1):
+    for i in range(longest - 1):
         level = grow(level, links)
+        level = keep(level, f"level-{grow.__name__}-{i}") if keep else level
         out.append(level)
     return out
 
 
-def simple_paths(edges: DataFrame, longest: int = 5) -> DataFrame:
+def simple_paths(edges: DataFrame, longest: int = 5, keep: Keep | None = None) -> DataFrame:
     """(path): simple paths of 2 to `longest` tables, once for each unordered pair of ends (the smaller end first)."""
-    levels = _levels(adjacency(edges), longest, _grow)[1:]
+    levels = _levels(adjacency(edges), longest, _grow, keep)[1:]
     out = levels[0]
     for level in levels[1:]:
         out = out.union(level)
@@ -96,7 +103,7 @@ def paths_of(edges: DataFrame, vertices: int) -> DataFrame:
     return simple_paths(edges, vertices).where(F.size("path") == vertices)
 
 
-def induced_paths(edges: DataFrame, vertices: int) -> DataFrame:
+def induced_paths(edges: DataFrame, vertices: int, keep: Keep | None = None) -> DataFrame:
     """(path): simple paths of exactly `vertices` tables without an edge between tables that aren't consecutive.
 
     A step is taken only if the new table is no neighbour of any before the last: one anti-join with the edges a level.
@@ -109,7 +116,7 @@ def induced_paths(edges: DataFrame, vertices: int) -> DataFrame:
         earlier = F.slice("path", 1, F.greatest(F.size("path") - 2, F.lit(0)))
         return step.join(chord, (F.element_at("path", -1) == chord.c_dst) & F.array_contains(earlier, chord.c_src), "left_anti")
 
-    return _levels(links, vertices, grow)[vertices - 1].where(F.element_at("path", 1) < F.element_at("path", -1))
+    return _levels(links, vertices, grow, keep)[vertices - 1].where(F.element_at("path", 1) < F.element_at("path", -1))
 
 
 def shuffled(paths: DataFrame, seed: int) -> DataFrame:

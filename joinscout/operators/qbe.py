@@ -7,6 +7,7 @@ Only plans come to the driver: candidate columns (top K a label), the few chosen
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property, reduce
 from itertools import islice
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from joinscout.functions import portable, vectors
 from joinscout.operators import execute, graph, index, labels, lists, profile, similarity, sketch
-from joinscout.sources.lake import RID, Lake
+from joinscout.sources.lake import RID, Lake, shared_folder, write_artifact
 
 MOST_ROWS = 10_000_000
 MOST_COMBINATIONS = 1000
@@ -24,7 +25,8 @@ MOST_COMBINATIONS = 1000
 
 @dataclass
 class Discovery:
-    """What is known of a lake before any query. Each part is a lazy frame; `kept` stores those that many plans read."""
+    """What is known of a lake before any query. Each part is a lazy frame; `kept` stores those that many plans read
+    in `folder`, by default a new one in the shared folder."""
 
     lake: Lake
     rules: graph.EdgeRules = graph.EdgeRules()
@@ -33,13 +35,12 @@ class Discovery:
     exact: bool = False
     folder: str | None = None
 
+    def __post_init__(self) -> None:
+        self.folder = self.folder or shared_folder(self.lake.spark)
+
     def kept(self, frame: DataFrame, name: str) -> DataFrame:
-        """Written to `folder` and read back, or cached by Spark if there is none."""
-        if self.folder is None:
-            return frame.persist()
-        path = f"{self.folder}/{name}"
-        frame.write.mode("overwrite").parquet(path)
-        return self.lake.spark.read.schema(frame.schema).parquet(path)
+        """Written to `folder` and read back: later plans begin there, and lost executors lose nothing of it."""
+        return write_artifact(frame, f"{self.folder}/{name}")
 
     @cached_property
     def columns(self) -> DataFrame:
@@ -82,7 +83,7 @@ class Discovery:
     @cached_property
     def paths(self) -> DataFrame:
         """(path, join_order) of all simple paths."""
-        return self.kept(graph.join_orders(graph.simple_paths(self.edges, self.longest), self.edges), "join_paths")
+        return self.kept(graph.join_orders(graph.simple_paths(self.edges, self.longest, self.kept), self.edges), "join_paths")
 
     @cached_property
     def ranked(self) -> DataFrame:
@@ -177,7 +178,7 @@ def answers(d: Discovery, query: list[dict], k_columns: int = 10, k_paths: int =
     near = [(r["q"], r["tbl"], r["col"]) for r in near]
     if not near:
         return []
-    found = d.kept(postings(d.lake, near, d.numeric, examples), "postings")
+    found = d.kept(postings(d.lake, near, d.numeric, examples), f"postings-{uuid.uuid4().hex[:12]}")
     full = {(r["q"], r["tbl"], r["col"]) for r in full_matches(found, n).collect()}
     choices = [[x for x in near if x[0] == q and x in full] for q in range(len(query))]
     if not all(choices):

@@ -289,18 +289,21 @@ def best_edges(spark, sf_dir):
 
 @query(with_sql("SELECT array_to_string(path, '>') AS path FROM paths", "paths"))
 def simple_paths(spark, sf_dir):
-    return graph.simple_paths(_known(spark, sf_dir).edges).select(_text())
+    d = _known(spark, sf_dir)
+    return graph.simple_paths(d.edges, d.longest, d.kept).select(_text())
 
 
 @query(with_sql("SELECT len(path)::INT AS vertices, count(*) AS n FROM paths GROUP BY 1", "paths"))
 def paths_by_length(spark, sf_dir):
-    return graph.simple_paths(_known(spark, sf_dir).edges).groupBy(F.size("path").alias("vertices")).agg(F.count(F.lit(1)).alias("n"))
+    d = _known(spark, sf_dir)
+    return graph.simple_paths(d.edges, d.longest, d.kept).groupBy(F.size("path").alias("vertices")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(with_sql("""SELECT array_to_string(path, '>') AS path FROM paths WHERE len(path) = 4
 AND NOT EXISTS (SELECT 1 FROM links WHERE list_position(path, src) > 0 AND list_position(path, dst) > list_position(path, src) + 1)""", "paths"))
 def induced_paths_k(spark, sf_dir):
-    return graph.induced_paths(_known(spark, sf_dir).edges, 4).select(_text())
+    d = _known(spark, sf_dir)
+    return graph.induced_paths(d.edges, 4, d.kept).select(_text())
 
 
 @query(with_sql("SELECT array_to_string(path, '>') AS path, join_order FROM orders", "orders"))

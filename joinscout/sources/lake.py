@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -133,6 +134,12 @@ def read_query_tables(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(QUERY_TABLES).option("multiLine", True).json(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir; under /tmp/checkpoints if that is unset."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+    return f"{root}/joinscout-{uuid.uuid4().hex[:12]}"
+
+
 def write_artifact(frame: DataFrame, path: str) -> DataFrame:
     """Stores a relation as Parquet and reads it again, so that later plans begin there."""
     frame.write.mode("overwrite").parquet(path)
