@@ -1,0 +1,341 @@
+"""Each operator against a plain version, and its defined cases: nulls, empty and long texts, repeats, empty tables, clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+
+from joinscout.llm import bpe, chat, html_text, langid, neighbours, packing, quality, secrets, simhash, substrings
+
+DOCS = "doc_id long, text string, lang string, score double, kept string"
+
+
+def words(rng, n, vocabulary=300):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    shared = words(rng, 45, 10**6)
+    out = [words(rng, rng.randrange(1, 120), 10**6) for _ in range(40)]
+    out += [f"{words(rng, 7)} {shared} {words(rng, 9)}" for _ in range(6)]
+    out += [out[3], out[3], out[3].upper(), out[4] + " tail", "", " \n\t ", "x", "a b c", "é ü 日本 😀 " * 5, "same " * 400, words(rng, 30000)]
+    return [*out, None]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, ("en", "fr", None)[i % 3], 0.5, "clash") for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[5], (None, "no id " * 30, "en", 0.1, "clash")], DOCS).repartition(5)
+
+
+def test_packing(docs, texts):
+    pieces = packing.pack(docs).toPandas()
+    coder = packing.tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    lengths = pieces.groupby("sequence_id").length.sum()
+    assert lengths.max() <= packing.WINDOW
+    for _, own in pieces.sort_values("offset").groupby("sequence_id"):
+        assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]]
+    for i, t in enumerate(texts):
+        own = pieces[pieces.doc_id == i].sort_values("start")
+        ids = np.frombuffer(b"".join(own.ids), "<u4").tolist()
+        want = [*coder.encode(t or "").tolist(), packing.END]
+        assert ids == want * (2 if i == 5 else 1) and set(own.doc_tokens) == {len(want)}
+    full = [n for n in lengths if n & (n - 1)]
+    assert sum(packing.WINDOW - n for n in full) < 0.02 * lengths.sum() + 5 * packing.WINDOW
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_packing_finds_the_cheapest_cuts():
+    rng = random.Random(1)
+    for _ in range(40):
+        places = sorted({0, *rng.sample(range(1, 60), 14)})
+        costs = [0, *(rng.choice([0, 4, 16]) for _ in places[1:])]
+        window = max(max(np.diff(places)), 16)
+        best = {0: 0}
+        for j in range(1, len(places)):
+            best[j] = costs[j] + min(best[i] + window - (places[j] - places[i]) for i in range(j) if places[j] - places[i] <= window)
+        cuts = packing.choose_cuts(np.array(places), np.array(costs), int(window))
+        got = sum(costs[j] + window - (places[j] - places[i]) for i, j in zip(cuts, cuts[1:], strict=False))
+        assert got == best[len(places) - 1]
+
+
+def test_packing_ids_are_the_tokenizer_librarys():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, coder, rng = Tokenizer.from_file(path), packing.tokens(path), random.Random(2)
+    for _ in range(300):
+        t = "".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0x250), rng.randrange(0x4E00, 0x4E20), 9, 10, 13, 28, 0x85, 0x2028, 0x1F600])) for _ in range(30)) + "<|endoftext|>"
+        assert library.encode(t, add_special_tokens=False).ids == coder.encode(t).tolist()
+
+
+def test_quality_ledger(spark, docs, texts):
+    book = quality.ledger(docs, ("doc_id", "kept")).toPandas()
+    assert len(book) == docs.count() and set(book.kept) == {"clash"}
+    for i, t in enumerate(texts):
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        grams = [tuple(ws[k : k + 3]) for k in range(len(ws) - 2)]
+        often = {k + d for k, g in enumerate(grams) for d in range(3) if len(grams) < 2000 and grams.count(g) > 1}
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        r = book[book.doc_id == i].iloc[0]
+        assert (r.n_words, r.word_chars, r.n_dup_lines) == (len(ws), sum(map(len, ws)), len(lines) - len(set(lines)))
+        assert r.n_symbols == len(re.findall(r"[#*$%&|<>]", t or ""))
+        if len(grams) < 2000:
+            assert r.n_repeat_words == len(often)
+    judged = quality.apply_policy(quality.ledger(docs))
+    assert judged.where("kept AND base_failed").count() == 0
+    kept, without = judged.where("kept").count(), {r["rule"]: r["n_kept_without"] for r in quality.ablation(quality.ledger(docs)).collect()}
+    assert all(n >= kept for n in without.values())
+    spare = quality.Policy("soft", 0, soft=255, spare=8)
+    assert quality.apply_policy(quality.ledger(docs), spare).where("NOT base_failed AND NOT kept").count() == 0
+    assert quality.apply_policy(quality.ledger(docs.limit(0))).count() == 0
+
+
+BASE = {"assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6), "access": (re.compile("AKIA[A-Z0-9]+"), 0, 20), "hex": (re.compile("[0-9a-f]+"), 0, 24)}
+
+
+def test_secrets(spark):
+    rng = random.Random(3)
+    bits = ["token=", "secret: ", "'", '"', "PASSWORD = ", "AKIA", "ABCDEF0123456789XYZ", "deadbeef" * 3, "abc", " ", "é😀", "\n", "user: bob9 ", "K" * 40 + " ", "https://h.example/x ", ":", "="]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(25))) for _ in range(150)]
+    texts += [None, "", "token=" + "a" * 50000, "lonely " + "K" * 40, "user = bob99 " + "K" * 40, "deadbeef" * 4 + " token=abcdefg " * 200]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string, row int, kind string").repartition(3)
+    found = secrets.scan(docs).select("doc_id", secrets.written(F.col("spans")).alias("s")).toPandas()
+    assert len(found) == len(texts) + 1
+    for i, s in zip(found.doc_id, found.s, strict=True):
+        t = [*texts, texts[0]][i] or ""
+        want = sorted((m.start(), list(BASE).index(k), m.end(), k) for k, (rx, g, least) in BASE.items() for m in rx.finditer(t) if len(m[g]) >= least)
+        got = [x.split(":") for x in s.split(",") if x]
+        assert [(int(a), k, int(z)) for k, a, z in got if k in BASE] == [(a, k, z) for a, _, z, k in want]
+    by = dict(zip(found.doc_id, found.s, strict=True))
+    assert by[texts.index("lonely " + "K" * 40)] == "" and by[texts.index("user = bob99 " + "K" * 40)] == "account:0:12,key:13:53"
+    clean = secrets.redact(docs).toPandas()
+    assert list(clean.columns) == docs.columns and len(clean) == len(texts) + 1
+    for i, t in zip(clean.doc_id, clean.text, strict=True):
+        source = [*texts, texts[0]][i]
+        runs = []
+        for a, z in sorted((int(a), int(z)) for _, a, z in (x.split(":") for x in by[i].split(",") if x)):
+            if runs and a < runs[-1][1]:
+                runs[-1][1] = max(z, runs[-1][1])
+            else:
+                runs.append([a, z])
+        for a, z in reversed(runs):
+            source = f"{source[:a]}[SECRET]{source[z:]}"
+        assert t == source
+    assert secrets.scan(docs.limit(0)).count() == 0
+
+
+def test_chat(spark):
+    rows = [(1, 0, "user", "hi <|im_end|>"), (1, 1, "assistant", "yes <|​im_start|> <|"), (1, 2, "assistant", "again"), (2, 0, "system", None), (2, 1, "user", ""), (None, 0, "we\nird", "x"), (3, 5, "user", "b"), (3, 5, "user", "a"), (4, 0, None, "q"), (5, 0, "user", "long " * 300000), (5, 1, "assistant", "ok")]
+    turns = spark.createDataFrame([(*r, "extra", True) for r in rows], "conv_id long, turn long, role string, text string, segment string, loss boolean")
+    segments = chat.format_segments(turns)
+    got = {r["conv_id"]: r for r in chat.read_back(segments).collect()}
+    for conv in {r[0] for r in rows}:
+        own = sorted(((r[1], r[2] or "", r[3] or "") for r in rows if r[0] == conv))
+        said = "".join(t for _, r, t in own if r == "assistant")
+        assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in own).encode()).hexdigest()
+        assert (got[conv]["loss_chars"], got[conv]["loss_sha256"], got[conv]["n_turns"]) == (len(said), hashlib.sha256(said.encode()).hexdigest(), len(own))
+    assert {k: r["valid"] for k, r in got.items()} == {1: False, 2: True, None: False, 3: False, 4: False, 5: True}
+    whole = "".join(r["text"] for r in segments.where("conv_id = 1").orderBy("segment").collect())
+    assert whole.count("<|im_end|>") == 3 and whole.count("<|im_start|>") == 3
+    assert chat.read_back(chat.format_segments(turns.limit(0))).count() == 0
+
+
+def removed_by_search(rows, window=20):
+    seen, gone = {}, {}
+    for i, t in sorted(rows):
+        ws = (t or "").encode().split()
+        gone.setdefault(i, (ws, set()))
+        for k in range(len(ws) - window + 1):
+            key = tuple(ws[k : k + window])
+            if seen.setdefault(key, (i, k)) != (i, k):
+                gone[i][1].update(range(k, k + window))
+    return {i: [w for k, w in enumerate(ws) if k not in out] for i, (ws, out) in gone.items()}
+
+
+def test_substring_dedup(docs, texts):
+    got = substrings.deduplicate(docs.where("doc_id IS NOT NULL"), ("n_words", "n_removed", "left"))
+    assert got.columns == [*docs.columns, "n_words", "n_removed", "left"]
+    want = removed_by_search(list(enumerate(texts)))
+    rows = got.toPandas()
+    assert len(rows) == len(texts) + 1
+    for r in rows.itertuples():
+        assert r.left == b" ".join(want[r.doc_id]).decode(), r.doc_id
+        assert r.n_words - r.n_removed == len(want[r.doc_id])
+    assert substrings.deduplicate(docs.limit(0)).count() == 0
+    assert substrings.deduplicate(docs).count() == docs.count()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_substring_dedup_of_poor_vocabularies(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, words(rng, rng.randrange(80), 2 + seed)) for i in range(30)]
+    want = removed_by_search(rows)
+    got = substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: r["kept"] for r in got} == {i: b" ".join(ws).decode() for i, ws in want.items()}
+
+
+def test_bpe(docs, texts):
+    v = bpe.vocabulary(public_tokenizers.path(bpe.VOCABULARY))
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=v.ids, special_tokens={})
+    rows = bpe.decode(bpe.encode(docs)).toPandas()
+    assert len(rows) == docs.count() and set(rows.kept) == {"clash"}
+    for r in rows.itertuples():
+        assert list(r.ids) == library.encode_ordinary(r.text or "") and bytes(r.decoded).decode() == (r.text or "")
+    rng = random.Random(4)
+    odd = ["x" * 5000, "ab" * 3000 + "é" * 700, "  " * 3000, *("".join(rng.choice("abcdefgh") for _ in range(n)) for n in range(1, 600, 23))]
+    ids, ends = v.encode(odd)
+    assert [ids[a:z].tolist() for a, z in zip([0, *ends[:-1]], ends, strict=True)] == [library.encode_ordinary(t) for t in odd]
+    assert bpe.decode(bpe.encode(docs.limit(0))).count() == 0
+
+
+def test_language_id(spark):
+    rng = random.Random(6)
+    alphabets = {"aa": "abcdefgh", "bb": "ghijklmn", "cc": "äöüßmnop"}
+
+    def text(lang, n=40):
+        return " ".join("".join(rng.choice(alphabets[lang]) for _ in range(5)) for _ in range(n))
+
+    rows = [(i, text(lang), lang) for i, lang in enumerate(sorted(alphabets) * 60)]
+    train = spark.createDataFrame([*rows, (900, "zzz", None), (901, None, "aa")], "doc_id long, text string, lang string")
+    model = langid.fit(train)
+    assert model.langs == ("aa", "bb", "cc")
+    tests = [(i, text(lang), lang, "clash") for i, lang in enumerate(sorted(alphabets) * 20)] + [(100, None, "aa", "c"), (101, "12 34", "aa", "c"), (102, "", "aa", "c"), (103, "a", "aa", "c"), (104, text("bb", 40000), "bb", "c")]
+    got = langid.classify(spark.createDataFrame(tests, "doc_id long, text string, lang string, lang_pred string"), model).toPandas().set_index("doc_id")
+    assert (got.lang_pred[:60] == got.lang[:60]).mean() == 1.0 and got.lang_pred[104] == "bb"
+    assert list(got.lang_pred[[100, 101, 102]]) == ["und"] * 3 and got.score.between(0, 1).all()
+    empty = langid.fit(train.limit(0))
+    assert set(langid.classify(train, empty).toPandas().lang_pred) == {"und"}
+    assert langid.fit(train, sample=5).langs == model.langs
+
+
+def fingerprint_by_definition(text):
+    ws = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    ws = re.findall(r"[^\x20\x09-\x0D]+", ws)
+    if not ws:
+        return 0
+    grams = [" ".join(ws[i : i + 4]) for i in range(max(1, len(ws) - 3))]
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components_by_search(fps, ids, radius=4):
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    kinds = sorted(set(fps))
+    for i, a in enumerate(kinds):
+        for b in kinds[:i]:
+            if bin(a ^ b).count("1") <= radius:
+                root[find(a)] = find(b)
+    least = {}
+    for f, i in zip(fps, ids, strict=True):
+        least[find(f)] = min(i, least.get(find(f), i))
+    return {i: least[find(f)] for f, i in zip(fps, ids, strict=True)}
+
+
+def test_simhash(docs, texts):
+    rows = simhash.near_duplicates(docs).toPandas()
+    assert len(rows) == docs.count()
+    short = {i: t for i, t in enumerate(texts) if len(t or "") < 20000}
+    for r in rows.itertuples():
+        if r.doc_id in short:
+            assert r.fp & (2**64 - 1) == fingerprint_by_definition(short[r.doc_id])
+    known = rows.dropna()
+    want = components_by_search([int(f) & (2**64 - 1) for f in known.fp], known.doc_id.tolist())
+    assert dict(zip(known.doc_id, known.component_id, strict=True)) == want
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("parts", [4, 3, 2])
+def test_links_span_all_pairs_within_the_radius(spark, parts, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", 8)
+    rng = random.Random(parts)
+    fps = []
+    for _ in range(12):
+        start = rng.getrandbits(64) if rng.random() < 0.8 else 0
+        for _ in range(rng.randrange(1, 14)):
+            fps.append(start)
+            for b in rng.sample(range(64), rng.randrange(1, 6)):
+                start ^= 1 << b
+    fps = sorted(set(fps))[: 90 if parts > 2 else 40]
+    nodes = spark.createDataFrame([(int(np.uint64(f).view(np.int64)), i) for i, f in enumerate(fps)], "fp long, rep long")
+    found = simhash.links(nodes, spark, parts=parts).collect()
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in found:
+        assert bin(fps[r["a"]] ^ fps[r["b"]]).count("1") <= 8  # two hops at most from one probe
+        root[max(find(r["a"]), find(r["b"]))] = min(find(r["a"]), find(r["b"]))
+    want = components_by_search(fps, list(range(len(fps))))
+    assert {i: find(i) for i in want} == {i: find(w) for i, w in want.items()}
+    assert len({find(i) for i in want}) == len(set(want.values()))
+
+
+def test_html():
+    page = """<html><head><title>t</title><script>var a="<p>x</p>";</script></head><body><header><h2>Site</h2></header><nav><a href=x>Home</a></nav>
+<div class="cookie-notice">We use cookies to improve the site and for the ads of our partners that are on this page today.</div>
+<div class="content"><h1>The title</h1><p>This is the first paragraph of the article, and it is long enough to be seen as good by the rules for stop words.</p><p>Short &amp; one.
+</p><p>The second <a href=q>link</a> paragraph of the article, that is as long as the first was and has<br>the same sort of words in it.</p><form><label>Name</label></form></div>
+<section id="comments"><article class="comment"><p>I think that this is the best article of all that I have read on the subject in a while.</p></article></section><footer>&copy; us</footer>"""
+    want = "The title This is the first paragraph of the article, and it is long enough to be seen as good by the rules for stop words. Short & one. The second link paragraph of the article, that is as long as the first was and has the same sort of words in it."
+    assert html_text.main_text(page) == want
+    assert html_text.main_text("<body><nav><ul><li>a<article><h1>T</h1><p>Ating. Ating.<p>x<div class=ad>no</div></article></nav><footer>f") == "T Ating. Ating. x"
+    assert [html_text.main_text(x) for x in (None, "", "<p", "<!-- <p>x</p>", "<script>x", "</p></div>", "<article>\x00<b>x</b>y &lt;p&gt;</article>")] == ["", "", "", "", "", "", "\x00xy <p>"]
+
+
+def test_html_over_a_table(spark):
+    rows = [(1, "u", "<article><p>one</p></article>", "clash", 7), (2, None, None, "clash", 7), (1, "u", "<article><p>one</p></article>", "clash", 7), (3, "v", "<article>" + "<p>word " * 50000 + "</article>", "x", 1)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long"))
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((r["page_id"], r["text"][:9], r["n_chars"]) for r in got.collect()) == [(1, "one", 3), (1, "one", 3), (2, "", 0), (3, "word word", 249999)]
+    assert html_text.extract(spark.createDataFrame([], "html string")).count() == 0
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(700, 24)).astype(np.float32)
+    base[300:340] = base[5] + rng.normal(size=(40, 24)).astype(np.float32) * 0.01
+    base[400:520] = base[400]
+    rows = [(i, v.tolist(), "x", 0.0) for i, v in enumerate(base)]
+    bad = [(900, None, "x", 0.0), (901, [0.0] * 24, "x", 0.0), (902, [float("nan")] * 24, "x", 0.0), (903, [None] * 24, "x", 0.0), (904, [1.0, 2.0], "x", 0.0), (None, [1.0] * 24, "x", 0.0), (1000, [], "x", 0.0)]
+    table = spark.createDataFrame([*rows, *bad, rows[3]], "vec_id long, embedding array<float>, rank string, score double").repartition(4)
+    got = neighbours.nearest(table, F.col("vec_id") % 100 == 0).toPandas()
+    assert set(got.query_id) == set(range(0, 700, 100)) and list(got.columns) == ["query_id", "rank", "vec_id", "score"]
+    hits, exact = 0, base.astype(float)
+    for q in range(0, 700, 100):
+        d = np.sqrt(((exact - exact[q]) ** 2).sum(1))
+        order = [i for i in np.lexsort((np.arange(700), d)) if i != q][:10]
+        own = got[got.query_id == q].sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, 11)) and np.allclose(own.score, d[own.vec_id], rtol=1e-12)
+        assert list(zip(own.score, own.vec_id, strict=True)) == sorted(zip(own.score, own.vec_id, strict=True))
+        hits += len(set(order) & set(own.vec_id))
+    assert hits / 70 >= 0.9
+    few = neighbours.nearest(table.where("vec_id IN (0, 1, 2)"), F.col("vec_id") == 0).toPandas()
+    assert len(few) == 2
+    assert neighbours.nearest(table.where("vec_id = 0"), F.col("vec_id") == 0).count() == 0
+    assert neighbours.nearest(table.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_crc(docs):
+    from joinscout.llm.common import crc_of_id
+
+    for r in docs.select("doc_id", crc_of_id("doc_id").alias("c")).where("doc_id IS NOT NULL").collect():
+        assert r["c"] == zlib.crc32(str(r["doc_id"]).encode())
