@@ -347,17 +347,17 @@ SHORT = CHAIN[2:]
 _SHORT = "customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 
 
-@query(f"SELECT count(*)::DECIMAL(38, 0) AS cardinality FROM {_CHAIN}")
+@query(f"SELECT count(*) AS cardinality FROM {_CHAIN}")
 def path_cardinality(spark, sf_dir):
     lake = driver_lake(spark, sf_dir)
-    return execute.cardinality(execute.project(lake, CHAIN), CHAIN)
+    return execute.cardinality(execute.project(lake, CHAIN), CHAIN).select(F.col("cardinality").cast("long").alias("cardinality"))
 
 
-@query(f"""SELECT 'customer>nation>region' AS path, count(*)::DECIMAL(38, 0) AS cardinality FROM {_SHORT} UNION ALL
+@query(f"""SELECT 'customer>nation>region' AS path, count(*) AS cardinality FROM {_SHORT} UNION ALL
 SELECT 'lineitem>orders>customer>nation>region', count(*) FROM {_CHAIN} UNION ALL SELECT 'supplier>nation>customer', count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN customer ON c_nationkey = n_nationkey""")
 def path_cardinalities(spark, sf_dir):
     orders = [CHAIN, SHORT, chain("supplier.s_nationkey=nation.n_nationkey", "nation.n_nationkey=customer.c_nationkey")]
-    return execute.path_cardinalities(driver_lake(spark, sf_dir), [{"join_order": o} for o in orders])
+    return execute.path_cardinalities(driver_lake(spark, sf_dir), [{"join_order": o} for o in orders]).select("path", F.col("cardinality").cast("long").alias("cardinality"))
 
 
 @query("SELECT s_suppkey AS supplier_rid, c_custkey AS customer_rid FROM supplier JOIN customer ON s_nationkey = c_nationkey")

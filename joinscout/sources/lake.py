@@ -75,9 +75,7 @@ def _unique(names: list[str]) -> list[str]:
 
 def repair_utf8(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files, bytes that aren't UTF-8 left out."""
-    raw = spark.read.format("binaryFile").load(path)
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "�", "")
-    return raw.select("path", F.explode(F.split(text, "\r?\n")).alias("line"))
+    return spark.read.text(path).select(F.regexp_replace(F.make_valid_utf8("value"), "\ufffd", "").alias("line"))
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
