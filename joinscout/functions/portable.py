@@ -35,9 +35,8 @@ def permutations(k: int = PERMUTATIONS, seed: int = 1) -> list[tuple[int, int]]:
     return out
 
 
-def minhash(x: Column, k: int = PERMUTATIONS, seed: int = 1) -> Column:
-    """Aggregate: the MinHash signature of the non-null strings of a group, duplicates allowed."""
-    h = h28(x)
+def minhash(h: Column, k: int = PERMUTATIONS, seed: int = 1) -> Column:
+    """Aggregate: the MinHash signature of a group's hashes (h28), duplicates allowed."""
     return F.array(*(F.min((h * a + b) % PRIME) for a, b in permutations(k, seed)))
 
 
@@ -61,19 +60,33 @@ def signs(bits: int = BITS, n: int = BUCKETS) -> list[list[int]]:
     return [[1 if int(hashlib.md5(f"{b}:{d}".encode()).hexdigest()[0], 16) % 2 else -1 for d in range(n)] for b in range(bits)]
 
 
+#: Counts of two bits share a long, 31 binary digits each.
+_LANE = 31
+
+
 def simhash(x: Column, bits: int = BITS, n: int = BUCKETS) -> Column:
     """Sign bits of the 3-gram counts against each hyperplane, as a string; null stays null, a sum of 0 gives 0.
 
-    The buckets are bound once, as the variable of a transform over one item, and read by all bits.
+    One pass over the grams counts, for all bits at once, those on the positive side; a bit is set if they are over half.
+    The buckets are bound once, as the variable of a transform over one item.
     """
-
-    def bit(found: Column, row: list[int]) -> Column:
-        plane = F.lit("".join("+" if x > 0 else "-" for x in row))
-        total = F.aggregate(found, F.lit(0), lambda acc, b: acc + F.when(F.substring(plane, (b + 1).cast("int"), 1) == "+", 1).otherwise(-1))
-        return F.when(total > 0, F.lit("1")).otherwise(F.lit("0"))
-
-    hashed = F.transform(F.array(buckets(x, n)), lambda found: F.concat(*(bit(found, row) for row in signs(bits, n))))
-    return F.when(x.isNotNull(), F.get(hashed, F.lit(0)))
+    planes = signs(bits, n)
+    packed = [planes[i : i + 2] for i in range(0, bits, 2)]
+    tables = ["array(" + ",".join(f"{sum((row[d] > 0) << (_LANE * k) for k, row in enumerate(pair))}L" for d in range(n)) + ")" for pair in packed]
+    zero = F.expr("named_struct(" + ",".join(f"'s{i}',0L" for i in range(len(packed))) + ")")
+
+    def add(acc: Column, b: Column) -> Column:
+        return F.struct(*((acc[f"s{i}"] + F.element_at(F.expr(t), (b + 1).cast("int"))).alias(f"s{i}") for i, t in enumerate(tables)))
+
+    def signed(both: Column) -> Column:
+        out = []
+        for b in range(bits):
+            lane = F.shiftright(both["sums"][f"s{b // 2}"], _LANE * (b % 2)).bitwiseAND((1 << _LANE) - 1)
+            out.append(F.when(lane * 2 > both["size"], F.lit("1")).otherwise(F.lit("0")))
+        return F.concat(*out)
+
+    sums = F.transform(F.array(buckets(x, n)), lambda found: F.struct(F.aggregate(found, zero, add).alias("sums"), F.size(found).alias("size")))
+    return F.when(x.isNotNull(), F.get(F.transform(sums, signed), F.lit(0)))
 
 
 def simhash_sql(found: str, bits: int = BITS, n: int = BUCKETS) -> str:

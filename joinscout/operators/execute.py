@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joinscout.functions import portable
-from joinscout.operators.graph import NATURAL
+from joinscout.operators.graph import NATURAL, Keep
 from joinscout.sources.lake import RID, Lake
 
 BIG = "decimal(38,0)"
@@ -64,11 +64,13 @@ def cardinality(tables: dict[str, DataFrame], order: list[dict]) -> DataFrame:
     return ends.join(weights, "key").agg(F.coalesce(F.sum(F.col("w") * F.col("n")), F.lit(0)).cast(BIG).alias("cardinality"))
 
 
-def path_cardinalities(lake: Lake, orders: list[dict]) -> DataFrame:
+def path_cardinalities(lake: Lake, orders: list[dict], keep: Keep | None = None) -> DataFrame:
     """(path, cardinality) of many paths at once: {path, join_order} each. Prefixes that paths share are carried once.
 
-    A relation (prefix, key, weight) is extended by one hop a round for all paths together.
+    A relation (prefix, key, weight) is extended by one hop a round for all paths together. Counts and rounds are stored by
+    `keep`, if given, so that each is made once.
     """
+    keep = keep or (lambda frame, name: frame)
     spark = lake.spark
     uses: dict[tuple, None] = {}
     starts, steps, ends = {}, {}, []
@@ -94,17 +96,17 @@ def path_cardinalities(lake: Lake, orders: list[dict]) -> DataFrame:
         return reduce(DataFrame.unionByName, frames)
 
     ends_by = {e[1]: None for e in ends} | {"|".join(v): None for v in starts.values()}
-    single = union([counted(t, {"key": key_of(c, k)}, tag) for tag in ends_by for t, c, k in [tag.split("|")]])
+    single = keep(union([counted(t, {"key": key_of(c, k)}, tag) for tag in ends_by for t, c, k in [tag.split("|")]]), "key_counts")
     start_rows = spark.createDataFrame([(p, "|".join(v)) for p, v in starts.items()], "prefix string, use string")
     weights = single.join(start_rows, "use").select("prefix", "key", F.col("n").cast(BIG).alias("w"))
     every = weights
     if uses:
-        double = union([counted(t, {"key": key_of(c1, k1), "next": key_of(c2, k2)}, "|".join((t, c1, k1, c2, k2))) for t, c1, k1, c2, k2 in uses])
+        double = keep(union([counted(t, {"key": key_of(c1, k1), "next": key_of(c2, k2)}, "|".join((t, c1, k1, c2, k2))) for t, c1, k1, c2, k2 in uses]), "hop_counts")
         depth = max(p.count(">") for p in steps)
         for level in range(2, depth + 1):
             now = [(p, b, u) for p, (b, u) in steps.items() if p.count(">") == level]
             rows = spark.createDataFrame(now, "longer string, prefix string, use string")
-            weights = weights.join(rows, "prefix").join(double, ["use", "key"]).groupBy(F.col("longer").alias("prefix"), F.col("next").alias("key")).agg(F.sum(F.col("w") * F.col("n")).cast(BIG).alias("w"))
+            weights = keep(weights.join(rows, "prefix").join(double, ["use", "key"]).groupBy(F.col("longer").alias("prefix"), F.col("next").alias("key")).agg(F.sum(F.col("w") * F.col("n")).cast(BIG).alias("w")), f"weights-{level}")
             every = every.unionByName(weights)
     end_rows = spark.createDataFrame(ends, "prefix string, use string")
     met = every.join(end_rows, "prefix").join(single, ["use", "key"]).groupBy("prefix").agg(F.sum(F.col("w") * F.col("n")).cast(BIG).alias("cardinality"))

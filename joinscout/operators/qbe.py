@@ -91,7 +91,7 @@ class Discovery:
         orders = [{"join_order": [h.asDict() for h in r["join_order"]]} for r in self.paths.select("join_order").collect()]
         if not orders:
             return self.paths.withColumns({"cardinality": F.lit(0).cast(execute.BIG), "nth": F.lit(0)}).limit(0)
-        sizes = execute.path_cardinalities(self.lake, orders).withColumnRenamed("path", "name")
+        sizes = execute.path_cardinalities(self.lake, orders, self.kept).withColumnRenamed("path", "name")
         best = graph.best_edges(self.edges).selectExpr("src AS parent", "dst AS child", "quality")
         quality = graph.hops(self.paths.select("path")).join(best, ["parent", "child"]).groupBy("path").agg(F.sum(F.log("quality")).alias("log_quality"))
         found = self.paths.withColumn("name", F.concat_ws(">", "path")).join(sizes, "name").where("cardinality > 0").join(quality, "path")

@@ -9,8 +9,12 @@ from joinscout.functions import portable
 
 
 def signatures(keys: DataFrame, key: str, k: int = portable.PERMUTATIONS, seed: int = 1) -> DataFrame:
-    """(tbl, col, signature) over the non-null values of `key`: k minima in one hash aggregate, partial before the shuffle."""
-    return keys.where(F.col(key).isNotNull()).groupBy("tbl", "col").agg(portable.minhash(F.col(key), k, seed).alias("signature"))
+    """(tbl, col, signature) over the non-null values of `key`: k minima in one hash aggregate, partial before the shuffle.
+
+    A value is hashed once, in a projection of its own, and not once for each permutation.
+    """
+    hashed = keys.select("tbl", "col", portable.h28(F.col(key)).alias("h")).where("h IS NOT NULL")
+    return hashed.groupBy("tbl", "col").agg(portable.minhash(F.col("h"), k, seed).alias("signature"))
 
 
 def estimated_jaccard(sketches: DataFrame, columns: DataFrame) -> DataFrame:
