@@ -64,14 +64,14 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Cuts Arrow batches so that the texts of each part take about SLICE_BYTES at most; gives the part and its texts."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Cuts Arrow batches so that the texts of each part take about `limit` bytes at most; gives the part and its texts."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         start, held = 0, 0
         for i, size in enumerate(sizes):
-            if held and held + size > SLICE_BYTES:
+            if held and held + size > limit:
                 part = batch.slice(start, i - start)
                 yield part, column.slice(start, i - start).to_pylist()
                 start, held = i, 0

@@ -33,6 +33,8 @@ BUCKETS = ORDERS << LOG_BUCKETS
 SAMPLE = 6000
 #: Languages to learn, the most frequent first; bounds the matrix.
 LANGUAGES = 256
+#: Bytes of text scored at once; a place takes about 100 bytes of arrays.
+AT_ONCE = 2 << 20
 UNKNOWN = "und"
 _STEP = np.uint32(0x9E3779B1)
 _letters: np.ndarray | None = None
@@ -70,7 +72,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, bucket, n) of a task's rows; as many rows as languages x BUCKETS at most."""
     sums: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
-    for part, texts in slices(batches):
+    for part, texts in slices(batches, limit=AT_ONCE):
         langs = part.column(part.schema.get_field_index("lang")).to_pylist()
         for lang in sorted(set(langs)):
             own = [t for t, x in zip(texts, langs, strict=True) if x == lang and t]
@@ -146,7 +148,7 @@ def classify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, limit=AT_ONCE):
             langs, score = shared.value.predict(texts)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score)], names=[*part.schema.names, *names])
 
