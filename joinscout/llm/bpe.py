@@ -33,6 +33,8 @@ LONG = BUCKETS[-1]
 #: Cells of a matrix at once, and distinct pieces that a worker remembers.
 CELLS = 1 << 20
 REMEMBERED = 1 << 18
+#: Bytes of text encoded at once; a piece takes about 100 bytes as an object.
+AT_ONCE = 2 << 20
 NONE = np.int32(np.iinfo(np.int32).max)
 
 
@@ -226,7 +228,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path(VOCABULARY)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, limit=AT_ONCE):
             ids, ends = vocabulary(path).encode(texts)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(_offsets(ends), pa.array(ids, pa.int32()))], names=[*part.schema.names, "ids"])
 
