@@ -32,7 +32,7 @@ from joinscout.llm.common import Scratch
 DEGREE, SAMPLE, REVERSE, GIVEN = 24, 16, 16, 8
 TREES, LEAF = 4, 256
 DESCENTS = 3
-BEAM, EXPAND, ROUNDS, LINKS_BACK = 300, 80, 8, 40
+BEAM, EXPAND, ROUNDS, LINKS_BACK = 400, 100, 8, 40
 SEED = 20240
 NEIGHBOURS = "id bigint, ids array<bigint>, gaps array<float>"
 
