@@ -1,4 +1,4 @@
-"""What the operators share: words, shared scratch tables, batches bounded by bytes."""
+"""What the operators share: scratch tables in the shared folder, batches bounded by bytes."""
 
 from __future__ import annotations
 
@@ -10,19 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space between words, as a Java and RE2 character class; bytes.split() cuts at the same six bytes.
-SPACE = r"\x20\x09-\x0D"
 #: Where scratch tables go if the session names no shared folder, as in tests.
 LOCAL_SCRATCH = "/tmp/checkpoints"
 #: Python works on slices of at most this many bytes of text at a time, plus one document.
 SLICE_BYTES = 8 << 20
 
 
-def words(text: str | None) -> list[bytes]:
-    """The UTF-8 words of a text; none for null."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -80,10 +73,5 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             yield batch.slice(start), column.slice(start).to_pylist()
 
 
-def in_arrow(frame: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow with a schema given as DDL."""
-    return frame.mapInArrow(function, schema)
-
-
 def crc_of_id(column: str) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))

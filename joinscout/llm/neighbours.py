@@ -197,9 +197,9 @@ def build_graph(nodes: DataFrame, dtype: str, scratch: Scratch, descents: int =
     chunk = F.pmod(F.xxhash64("id", "leaf"), F.ceil(F.col("count") / (2 * LEAF)))
     cut = leaves.join(counts, "leaf").select(F.xxhash64("leaf", chunk).alias("leaf"), "id", "vec")
     graph = scratch.keep(merged(cut.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_in_leaves(dtype), NEIGHBOURS)))
-    for _ in range(descents):
+    for descent in range(descents):
         links = graph.select("id", F.posexplode(F.arrays_zip("ids", "gaps")).alias("nth", "x")).select("id", F.col("x.ids").alias("other"), F.col("x.gaps").alias("gap"), "nth")
-        mixed = F.xxhash64("id", "other", F.lit(_ + SEED))
+        mixed = F.xxhash64("id", "other", F.lit(descent + SEED))
         chosen = Window.partitionBy("id").orderBy(mixed)
         ahead = links.withColumn("turn", F.row_number().over(chosen)).where(F.col("turn") <= SAMPLE).select("id", "other")
         back = _few(links.select(F.col("other").alias("id"), F.col("id").alias("other"), "gap"), "id", REVERSE).select("id", "other")
