@@ -6,12 +6,14 @@ no more than another.
 Graph: nodes first get neighbours from leaves of a few random-projection trees (a sign pattern, cut into chunks of LEAF
 rows at most). Then each round joins neighbours of neighbours: a node's sampled neighbours and reverse neighbours meet at
 the node with their vectors, all their distances are taken in one matrix product, and what improves a member's list is
-sent to it. A list holds DEGREE neighbours; samples are bounded, so no task gathers a hub's links.
+sent to it. A list holds DEGREE neighbours; samples are bounded, so no task gathers a hub's links. Rounds go on until a round
+changes at most CHANGE of the lists' entries.
 
 Search: a query node begins with its own list. Each round it expands its nearest unexpanded nodes by a join with the
 graph, fetches the vectors of nodes not seen before by another join, and measures them in double precision on the
-original vectors. It ends when its BEAM nearest are all expanded or after ROUNDS rounds. Every row is indexed; nothing is
-fitted on a sample. Recall against brute force is measured in the tests and in the README.
+original vectors, until its `beam` nearest are all expanded. Then the recall of PROBES query nodes is measured against brute
+force, and while it is under `recall`, the beam is doubled and the search goes on from where it stands; so the beam grows with
+the table as far as the vectors need it. Every row is indexed; nothing is fitted on a sample.
 
 Defined cases: vectors that are null, empty, all zero or hold a null or non-finite component take no part, neither do those whose
 length differs from the most frequent one (the larger on a tie). Repeated rows of one id and vector are one row; a null id takes no part. Equal distances
@@ -21,6 +23,7 @@ go by id. A query without other rows has no result. Other columns are dropped.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,12 @@ from joinscout.llm.common import Scratch
 
 DEGREE, SAMPLE, REVERSE, GIVEN = 24, 16, 16, 8
 TREES, LEAF = 4, 256
-DESCENTS = 3
-BEAM, EXPAND, ROUNDS, LINKS_BACK = 400, 100, 8, 40
+#: Share of the lists' entries that the last round of descent may still change.
+CHANGE = 0.01
+#: Beam to begin with, and links back of a node that a search follows.
+BEAM, LINKS_BACK = 400, 40
+#: Least recall, and the query nodes on which it is measured.
+RECALL, PROBES = 0.95, 100
 SEED = 20240
 NEIGHBOURS = "id bigint, ids array<bigint>, gaps array<float>"
 
@@ -175,7 +182,14 @@ def _few(rows: DataFrame, by: str, limit: int) -> DataFrame:
     return parts.withColumn("nth", F.row_number().over(part)).where(F.col("nth") <= limit).withColumn("nth", F.row_number().over(full)).where(F.col("nth") <= limit).drop("nth", "part")
 
 
-def build_graph(nodes: DataFrame, dtype: str, scratch: Scratch, descents: int = DESCENTS) -> DataFrame:
+def _changed(before: DataFrame, after: DataFrame) -> int:
+    """How many entries of the lists `after` aren't in those `before`."""
+    was = before.select("id", F.col("ids").alias("was"))
+    new = F.size(F.array_except("ids", F.coalesce("was", F.array().cast("array<bigint>"))))
+    return after.join(was, "id", "left").agg(F.sum(new)).first()[0] or 0
+
+
+def build_graph(nodes: DataFrame, dtype: str, scratch: Scratch, change: float = CHANGE) -> DataFrame:
     """(id, ids, gaps): each node's nearest nodes, found by NN-descent over `nodes` (id, vec)."""
     n = nodes.count()
     first = nodes.select("vec").first()
@@ -197,7 +211,7 @@ def build_graph(nodes: DataFrame, dtype: str, scratch: Scratch, descents: int =
     chunk = F.pmod(F.xxhash64("id", "leaf"), F.ceil(F.col("count") / (2 * LEAF)))
     cut = leaves.join(counts, "leaf").select(F.xxhash64("leaf", chunk).alias("leaf"), "id", "vec")
     graph = scratch.keep(merged(cut.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_in_leaves(dtype), NEIGHBOURS)))
-    for descent in range(descents):
+    for descent in count():  # ends, as lists only get nearer
         links = graph.select("id", F.posexplode(F.arrays_zip("ids", "gaps")).alias("nth", "x")).select("id", F.col("x.ids").alias("other"), F.col("x.gaps").alias("gap"), "nth")
         mixed = F.xxhash64("id", "other", F.lit(descent + SEED))
         chosen = Window.partitionBy("id").orderBy(mixed)
@@ -209,10 +223,12 @@ def build_graph(nodes: DataFrame, dtype: str, scratch: Scratch, descents: int =
         known = nodes.select(F.col("id").alias("other"), "vec").join(worst, "other", "left").select("other", "vec", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"))
         met = pairs.join(known, "other").select("id", "other", "vec", "worst").repartition("id").sortWithinPartitions("id")
         better = scratch.keep(merged(graph.union(met.mapInArrow(_meet(dtype), NEIGHBOURS))))
+        changed = _changed(graph, better)
         scratch.drop(graph)
         scratch.free_shuffles()
         graph = better
-    return graph
+        if changed <= change * n * DEGREE:
+            return graph
 
 
 STATE = "id bigint, vec binary, ids binary, gaps binary, fresh binary"
@@ -258,19 +274,53 @@ def _step(beam: int, expand: int):
     return step
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dtype: str, scratch: Scratch, beam: int = BEAM, expand: int = EXPAND, rounds: int = ROUNDS) -> DataFrame:
-    """(id, ids, gaps): the pool of each query node (id, vec), as bytes, nearest first."""
+def _reach(queries: DataFrame, nodes: DataFrame, dtype: str, k: int) -> dict[int, tuple[int, float]]:
+    """By brute force, for PROBES of the query nodes at most: how many nodes, itself among them, its k nearest others are, and the distance of the last."""
+    asked = queries.orderBy(F.xxhash64("id"), "id").limit(PROBES).select("id", "vec").collect()
+    points = [(r["id"], np.frombuffer(r["vec"], dtype).astype(np.float64)) for r in asked]
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = [np.empty(0)] * len(points)
+        for whole in batches:
+            for s in range(0, whole.num_rows, 1024):
+                found = _matrix(whole.column(0).slice(s, 1024), dtype).astype(np.float64)
+                for i, (_, mine) in enumerate(points):
+                    top[i] = np.sort(np.concatenate((top[i], np.sqrt(((found - mine) ** 2).sum(1)))))[: k + 1]
+        ids = np.repeat([i for i, _ in points], [len(x) for x in top]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(top))], names=["id", "gap"])
+
+    if not points:
+        return {}
+    nearest_gaps = F.slice(F.array_sort(F.collect_list("gap")), 1, k + 1)
+    least = nodes.select("vec").mapInArrow(far, "id bigint, gap double").groupBy("id").agg(nearest_gaps.alias("gaps"))
+    return {r["id"]: (len(r["gaps"]), r["gaps"][-1]) for r in least.collect()}
+
+
+def _recall(state: DataFrame, reach: dict[int, tuple[int, float]], k: int) -> float:
+    """Share of the nearest others of the probed nodes that their pools hold."""
+    pools = state.where(F.col("id").isin(list(reach))).select("id", F.substring("gaps", 1, 8 * (k + 1)).alias("gaps")).collect()
+    held = sum(min(reach[r["id"]][0], int((np.frombuffer(r["gaps"]) <= reach[r["id"]][1]).sum())) - 1 for r in pools)
+    return held / max(1, sum(n - 1 for n, _ in reach.values())) if any(n > 1 for n, _ in reach.values()) else 1.0
+
+
+def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dtype: str, scratch: Scratch, k: int = 10, beam: int = BEAM, recall: float = RECALL) -> DataFrame:
+    """(id, ids, gaps): the pool of each query node (id, vec), as bytes, nearest first; `beam` is what the search begins with."""
     ahead = graph.select("id", F.explode(F.arrays_zip("ids", "gaps")).alias("x")).select("id", F.col("x.ids").alias("other"), F.col("x.gaps").alias("gap"))
     back = _few(ahead.select(F.col("other").alias("id"), F.col("id").alias("other"), "gap"), "id", LINKS_BACK)
     around = scratch.keep(ahead.union(back).groupBy("id").agg(F.collect_set("other").alias("around")))
+    reach = _reach(queries, nodes, dtype, k)
     empty = F.lit(b"")
     state = scratch.keep(queries.select("id", "vec", empty.alias("ids"), empty.alias("gaps"), empty.alias("fresh"), F.array("id").alias("new"), F.array("vec").alias("vectors")).mapInArrow(_measure(dtype), STATE))
-    for _ in range(rounds):
-        stepped = scratch.keep(state.mapInArrow(_step(beam, expand), STATE + ", front array<bigint>, seen array<bigint>"))
-        scratch.drop(state)
+    while True:
+        stepped = scratch.keep(state.mapInArrow(_step(beam, max(1, beam // 4)), STATE + ", front array<bigint>, seen array<bigint>"))
         if stepped.where(F.size("front") > 0).isEmpty():
-            state = stepped.select("id", "vec", "ids", "gaps", "fresh")
-            break
+            scratch.drop(stepped)
+            # A pool of which nothing is fresh has seen all nodes that links lead to.
+            if _recall(state, reach, k) >= recall or state.where(F.hex("fresh").contains("01")).isEmpty():
+                return state.select("id", "ids", "gaps")
+            beam *= 2
+            continue
+        scratch.drop(state)
         front = stepped.select(F.col("id").alias("query"), F.explode("front").alias("id")).join(around, "id")
         met = front.groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("around"))).alias("met"))
         fresh = met.join(stepped.select(F.col("id").alias("query"), "seen"), "query").select("query", F.explode(F.array_except("met", "seen")).alias("id"))
@@ -279,11 +329,13 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dtype: str, s
         state = scratch.keep(joined.mapInArrow(_measure(dtype), STATE))
         scratch.drop(stepped)
         scratch.free_shuffles()
-    return state.select("id", "ids", "gaps")
 
 
-def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query row its k nearest other rows found, by Euclidean distance."""
+def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", beam: int = BEAM, recall: float = RECALL) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each query row its k nearest other rows found, by Euclidean distance.
+
+    The search begins with `beam`, which is doubled until `recall` is measured.
+    """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
     rows = clean(vectors, id_column, vector_column)
@@ -304,7 +356,7 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_column: str
     nodes = scratch.keep(members.select(F.element_at("members", 1).alias("id"), "vec", "members"))
     graph = build_graph(nodes.select("id", "vec"), dtype, scratch)
     asking = scratch.keep(flat.where("asks").select("vec_id", "vec").distinct().join(nodes.select("id", "vec"), "vec").select("vec_id", "id", "vec"))
-    pools = search(asking.select("id", "vec").distinct(), nodes.select("id", "vec"), graph, dtype, scratch)
+    pools = search(asking.select("id", "vec").distinct(), nodes.select("id", "vec"), graph, dtype, scratch, k, beam, recall)
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -334,6 +334,17 @@ def test_neighbours(spark):
     assert neighbours.nearest(table.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_search_until_the_recall_is_reached(spark):
+    base = np.random.default_rng(8).normal(size=(3000, 48)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<float>").repartition(4)
+    got = neighbours.nearest(table, F.col("vec_id") % 50 == 0, beam=11).toPandas()
+    exact, hits = base.astype(float), 0
+    for q, own in got.groupby("query_id"):
+        d = ((exact - exact[q]) ** 2).sum(1)
+        hits += len(set(np.argsort(d)[1:11]) & set(own.vec_id))
+    assert len(got) == 600 and hits / 600 >= 0.93
+
+
 def test_crc(docs):
     from joinscout.llm.common import crc_of_id
 
