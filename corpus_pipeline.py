@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinscout.llm import langid, packing, secrets, simhash, substrings
+from joinscout.llm import alike, langid, packing, secrets, substrings
 from joinscout.llm.common import Scratch, table
 from joinscout.shipping import ship
 
@@ -27,15 +27,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near copies; of rows that share an id, the first text in order.
+    """Keeps the document of smallest id of each group of near copies: sets of five-word shingles of similarity 0.8 or more.
 
-    A document without an id goes, as no group can be told that it stays.
+    SimHash fingerprints within the query's 4 bits don't reach that similarity, so MinHash finds candidates, which are compared exactly.
     """
     ship(spark)
-    found = simhash.near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    return docs.join(kept, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
+    return alike.first_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,3 +75,32 @@ def test_stages_keep_columns_and_take_empty_tables(spark, folder):
         assert out.count() == 0
         if name != "packing":
             assert out.columns == docs.columns
+
+
+def test_near_copies_of_similarity_08_go(spark, monkeypatch):
+    from joinscout.llm import alike
+
+    monkeypatch.setattr(alike, "CELL", 8)
+    rng = random.Random(11)
+
+    def grams(ws):
+        return {tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))}
+
+    rows = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 400))]
+        for _ in range(8):
+            ws = list(base)
+            for k in rng.sample(range(len(ws)), rng.randrange(1, max(2, len(ws) // 25))):
+                ws[k] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(ws)))
+    sets = [grams(t.split()) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in root:
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(root)) and 12 < len(set(root)) < len(rows)
