@@ -1,7 +1,7 @@
 """Secret scans (4): multipart credential linking with DataFrame functions only.
 
-Strong kinds (assign, access, hex) are reported wherever they are found. Weak candidates (an account name, a bare
-40-character key, an endpoint) mean nothing alone: an interval join within each document finds, for each candidate, the
+Strong kinds (assign, access, hex) are reported wherever they are found. Weak candidates (an account name, a bare key, an
+endpoint) mean nothing alone: an interval join within each document finds, for each candidate, the
 nearest part that complements it on either side, and the candidate is reported only if that lies within SCOPE code
 points. The join is a sweep over the document's parts in both directions, so a document's work is linear in its parts
 (after a sort) and no pairs are made.
@@ -31,18 +31,23 @@ KINDS = tuple(PATTERNS)
 BASE = KINDS[:3]
 #: Group and least length of what must be long enough; failing matches are dropped after matching.
 LEAST = {"assign": (2, 6), "account": (2, 3)}
-#: Exact length of a bare key.
+#: Exact length of a bare key in the queries' SQL.
 KEY_CHARS = 40
+_RUN = "[A-Za-z0-9+/]"
+#: What is scanned: as PATTERNS, which the queries' SQL is made of, but a bare key ends at '=' unless that is padding, so a name before
+#: it is no part of it; it has 40 characters with its padding, or 32 to 128 with small and capital letters and digits among them.
+SCANNED = PATTERNS | {
+    "key": rf"(?<!{_RUN})(?:(?:{_RUN}{{40}}|{_RUN}{{39}}=|{_RUN}{{38}}==)(?![A-Za-z0-9+/=])|(?={_RUN}*[a-z])(?={_RUN}*[A-Z])(?={_RUN}*[0-9]){_RUN}{{32,128}}(?!{_RUN})={{0,2}}|{_RUN}{{40}}(?!{_RUN}))",
+}
 #: What each kind of part is: an identifier, a secret or an endpoint.
 IDENTIFIERS, SECRETS, ENDPOINTS = ("access", "account"), ("assign", "hex", "key"), ("endpoint",)
 #: Code points between a weak candidate and the part that complements it, at most.
 SCOPE = 200
 
 
-def _part(no: int, kind: str, least: int):
+def _part(no: int, least: int):
     def part(x: Column, k: Column) -> Column:
-        counts = x["value"] == KEY_CHARS if kind == "key" else x["value"] >= least
-        return F.struct(F.lit(no).alias("kind"), k.alias("k"), x["gap"].alias("gap"), x["chars"].alias("chars"), counts.alias("counts"))
+        return F.struct(F.lit(no).alias("kind"), k.alias("k"), x["gap"].alias("gap"), x["chars"].alias("chars"), (x["value"] >= least).alias("counts"))
 
     return part
 
@@ -50,12 +55,12 @@ def _part(no: int, kind: str, least: int):
 def _parts(text: Column) -> Column:
     """All matches of all kinds: (kind, k, gap before, chars, whether it counts); texts without a match cost one search."""
     found = []
-    for no, (kind, rx) in enumerate(PATTERNS.items()):
+    for no, (kind, rx) in enumerate(SCANNED.items()):
         group, least = LEAST.get(kind, (0, 0))
         gaps = F.transform(F.split(text, rx, -1), F.length)
         whole = F.transform(F.regexp_extract_all(text, F.lit(rx), F.lit(0)), F.length)
         value = F.transform(F.regexp_extract_all(text, F.lit(rx), F.lit(group)), F.length) if group else whole
-        rows = F.transform(F.arrays_zip(gaps.alias("gap"), whole.alias("chars"), value.alias("value")), _part(no, kind, least))
+        rows = F.transform(F.arrays_zip(gaps.alias("gap"), whole.alias("chars"), value.alias("value")), _part(no, least))
         found.append(F.when(text.rlike(rx), F.filter(rows, lambda x: x["chars"].isNotNull())))
     return F.array_compact(F.flatten(F.array_compact(F.array(*found))))
 
