@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where scratch tables go if the session names no shared folder, as in tests.
+#: Where scratch tables go if a local session names no shared folder, as in tests.
 LOCAL_SCRATCH = "/tmp/checkpoints"
 #: Python works on slices of at most this many bytes of text at a time, plus one document.
 SLICE_BYTES = 8 << 20
@@ -21,8 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or LOCAL_SCRATCH if that is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{LOCAL_SCRATCH}"
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode LOCAL_SCRATCH serves if that is unset."""
+    if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{LOCAL_SCRATCH}"
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to clash with no column, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 class Scratch:
@@ -34,7 +49,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.paths: dict[int, str] = {}
+        self.kept: list[tuple[DataFrame, str]] = []
         self.n = 0
 
     def keep(self, frame: DataFrame) -> DataFrame:
@@ -42,15 +57,15 @@ class Scratch:
         self.n += 1
         frame.write.parquet(path)
         out = self.spark.read.schema(frame.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.kept.append((out, path))
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
-        for frame in frames:
-            if path := self.paths.pop(id(frame), None):
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        for path in [path for own, path in self.kept if any(own is x for x in frames)]:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self.kept = [(own, path) for own, path in self.kept if not any(own is x for x in frames)]
 
     def free_shuffles(self) -> None:
         """Lets Spark's cleaner delete shuffle files of plans that are done with; they go only when the JVM collects garbage."""

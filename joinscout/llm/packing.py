@@ -1,7 +1,7 @@
 """Packing (1): order-preserving dynamic programming over cuts at document and sentence boundaries.
 
 Each task lays the tokens of its rows end to end, each document followed by END, and chooses cuts so that windows of at
-most WINDOW tokens have the least padding plus truncation penalties. A window is padded to WINDOW, except that one whose
+most WINDOW tokens have the least padding plus truncation penalties, and a small price a window. A window is padded to WINDOW, except that one whose
 length is a power of two stays as it is. The best predecessor of a cut is the least f(i) + i within WINDOW tokens before
 it, which a monotone queue keeps in constant time a cut; windows of a power of two add a few more transitions.
 
@@ -26,13 +26,14 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from joinscout.llm.common import slices
 
 WINDOW = 2048
 END = 1
-#: Tokens of padding that a cut is worth: between documents nothing, between sentences and inside a sentence more.
-SENTENCE_CUT, INNER_CUT = 4, 16
+#: Tokens of padding that a cut is worth: between documents nothing, between sentences and inside a sentence more; and a sequence.
+SENTENCE_CUT, INNER_CUT, SEQUENCE = 4, 16, 8
 STRIDE = 256
 BUFFER = 1 << 20
 #: Powers of two that windows may have besides WINDOW.
@@ -44,7 +45,8 @@ class Tokens:
     """Ids of texts by a byte-level BPE tokenizer file (tokenizers' JSON).
 
     If ids follow the order of merges, as they do for byte-level vocabularies, the file's own merges are handed to a
-    faster library that gives the same ids; otherwise the tokenizers library is used.
+    faster library that gives the same ids; otherwise, and for texts whose runs of white space are too long for the faster
+    one's pattern matcher, the tokenizers library is used.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,20 +62,20 @@ class Tokens:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         ordered = all(vocab["".join(p)] == 256 + i for i, p in enumerate(pairs)) and not model.get("ignore_merges")
         usual = file["normalizer"] is None and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in file["added_tokens"])
-        self.fast = self.slow = None
+        self.fast = None
         if ordered and usual:
             self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks={b: i for i, b in self.text.items()}, special_tokens=special)
-        else:
-            from tokenizers import Tokenizer
-
-            self.slow = Tokenizer.from_file(path)
+        self.slow = Tokenizer.from_file(path)
         self.ends = np.zeros(max([*self.text, *special.values()]) + 1, bool)
         endings = tuple(x.encode() for x in ENDINGS)
         self.ends[[i for i, b in self.text.items() if b.endswith(endings)]] = True
 
     def encode(self, text: str) -> np.ndarray:
         if self.fast:
-            return np.asarray(self.fast.encode_to_numpy(text, allowed_special="all"), np.uint32)
+            try:
+                return np.asarray(self.fast.encode_to_numpy(text, allowed_special="all"), np.uint32)
+            except ValueError:  # the pattern matcher's stack ends within a long run of white space
+                pass
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -83,7 +85,7 @@ def tokens(path: str) -> Tokens:
 
 
 def choose_cuts(places: np.ndarray, costs: np.ndarray, window: int = WINDOW) -> list[int]:
-    """Indexes into `places` (increasing, the first and last fixed; gaps of at most `window`) of the cheapest cuts."""
+    """Indexes into `places` (increasing, the first and last fixed; gaps of at most `window`) of the cheapest cuts; `costs` hold a sequence's."""
     last = len(places) - 1
     index = np.full(int(places[-1]) + 1, -1, np.int64)
     index[places] = np.arange(last + 1)
@@ -161,7 +163,7 @@ class _Stream:
             inner = np.repeat(places[wide], n) + STRIDE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1)
             cost[inner] = INNER_CUT
             places = np.flatnonzero(cost >= 0)
-        cuts = places[choose_cuts(places, cost[places], self.window)]
+        cuts = places[choose_cuts(places, cost[places] + SEQUENCE, self.window)]
         if not final:
             cuts = cuts[cuts <= self.size - 16 * self.window]
         doc, begins, raw = 0, ends - sizes, ids.astype("<u4").tobytes()
