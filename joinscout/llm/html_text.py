@@ -1,23 +1,30 @@
 """HTML extraction (3): two-pass block rules over a whole page.
 
 A page is cut into blocks at block-level tags. Each block has its length, its share of characters inside links, its share of
-stop words, and the containers it lies in.
+stop words, and the containers it lies in. Some containers never hold article text: by tag or role (navigation, asides, footers,
+hidden elements), or by name (a class or id whose whole name, last part, or first part before a plain word like "box" is telling).
+Names like no-sidebar, has-ads or comments-open tell a state and don't count, nor do names of html, body and main; an article's name
+counts as a whole only. A container by name (or a form) that holds most of the page's text, with nothing good outside, is no such
+container after all.
 
-Pass 1 looks at each block alone. Blocks in containers that are never article text (navigation, forms, notices, ...) and
-blocks mostly made of links are bad. Long blocks are good or bad by stop words. Blocks inside <article> or <main> are good
-once they are neither; headings and short blocks stay undecided.
+Pass 1 looks at each block alone. Blocks in unfit containers and blocks mostly made of links are bad. Headings and short blocks stay
+undecided. Long blocks are good with enough stop words, and those of middling length too; inside <article> or <main>, and on
+pages whose stop words are none that are listed (other languages, technical pages), length and links alone decide.
 Pass 2 gives each undecided block the label that its nearest decided neighbours share; where they differ, the nearer one
 decides, in characters between them, the one before on a tie. A heading follows the next decided block. Blocks in unfit
-containers say nothing about what lies outside those and are no neighbours.
+containers say nothing about what lies outside those and are no neighbours; inside an article only its own blocks are. If no block of the
+page is good, undecided ones are.
 
 Defined cases: a null or empty page, or one without good blocks, has the text "". Unclosed comments, scripts and tags end with the page.
-Repeated rows are extracted each by itself. Extra columns stay; `text` and `n_chars` replace clashing ones.
+Repeated rows are extracted each by itself. Extra columns stay; `text` and `n_chars` replace clashing ones. Time is linear in the
+page however tags nest.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +45,11 @@ SKIPPED = frozenset("script style noscript template svg math iframe object embed
 RAW = frozenset("script style noscript template iframe svg title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img wbr picture".split())
-BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
+BAD_TAGS = frozenset("nav footer aside menu dialog".split())
+#: Unfit like a telling name: unless they hold the page.
+FORMS = frozenset(("form", "fieldset"))
+#: Of those by tag, the ones that an article begins in only because they were never closed.
+UNCLOSED = frozenset("nav header menu".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 CONTENT = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -49,9 +60,19 @@ BAD_NAMES = frozenset(
     " share sharing social related recommended recommendations comment comments commentlist respond disqus discussion pagination pager copyright skip".split()
 )
 HEADER_NAMES = frozenset(("header", "masthead", "topbar"))
+#: Beginnings and ends of names that tell a state or a lack, and plain words that may follow a telling one.
+STATES = frozenset("no not non without has have with is show hide open opened closed enabled disabled allowed active".split())
+PLAIN = frozenset(
+    "area bar block body bottom box button buttons col column container content entry feed form group header holder icons inner item items left link links list main message module outer panel"
+    " placeholder post posts primary right row secondary section slot space text thread title top unit wrap wrapper zone".split()
+)
 LINKED, MOSTLY_LINKED = 0.33, 0.5
 SHORT, LONG = 70, 200
 FEW_STOPS, MANY_STOPS = 0.08, 0.2
+#: Below this share of stop words on a whole page, they tell nothing about its blocks.
+TELLING_STOPS = 0.05
+#: Share of a page's text that a container by name must hold to be none.
+MOST = 0.8
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -62,46 +83,65 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
+_WIDE = re.compile("[\u2e80-\uffff\U00020000-\U0003ffff]")
 GOOD, BAD, OPEN = 1, 0, -1
+FIT, NAMED, HARD = 0, 1, 2
 
 
 @dataclass
 class Block:
     text: str
     linked: float
-    stops: float
+    n_words: int
+    n_stops: int
     tag: str
     inside: bool
     bad: bool
+    holder: int  # the innermost container that is unfit by name, -1 if there is none
 
+    @property
+    def length(self) -> int:
+        """In letters of an alphabet: a character of a script without spaces stands for three."""
+        return len(self.text) + 2 * len(_WIDE.findall(self.text))
 
-def _unfit(tag: str, rest: str, inside: bool) -> bool:
-    """Whether an element is never article text, by its tag, role, class or id."""
-    if tag in BAD_TAGS or (tag == "header" and not inside):
-        return True
-    if not rest:
+
+def _telling(name: str, whole: bool, words: frozenset[str]) -> bool:
+    """Whether a class or id names what an article isn't; with `whole`, only if nothing else is in it."""
+    parts = [x.lower() for x in _PARTS.findall(name)]
+    if not parts or parts[0] in STATES or parts[-1] in STATES:
         return False
-    for m in _NAMES.finditer(rest):
+    if whole:
+        return len(parts) == 1 and parts[0] in words
+    return parts[-1] in words or (parts[0] in words and all(x in PLAIN or x in words for x in parts[1:]))
+
+
+def _unfit(tag: str, rest: str, inside: bool) -> int:
+    """Whether an element is never article text: HARD by its tag, role or style, NAMED by its class or id."""
+    if tag in BAD_TAGS or (tag == "header" and not inside):
+        return HARD
+    found = NAMED if tag in FORMS else FIT
+    for m in _NAMES.finditer(rest) if rest else ():
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
+            return HARD
         if key == "role" and value.lower() in BAD_ROLES:
-            return True
-        if key in ("class", "id"):
-            names = {x.lower() for x in _PARTS.findall(value)}
-            if names & BAD_NAMES or (not inside and names & HEADER_NAMES):
-                return True
-    return False
+            return HARD
+        if key in ("class", "id") and tag not in ("html", "body", "main"):
+            words = BAD_NAMES if inside else BAD_NAMES | HEADER_NAMES
+            if any(_telling(x, tag == "article", words) for x in value.split()):
+                found = NAMED
+    return found
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order, empty ones left out."""
+def blocks(page: str) -> tuple[list[Block], list[int]]:
+    """The blocks of a page in order, empty ones left out, and the container by name around each container by name."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, in an article, unfit
-    inside = unfit = False
+    parents: list[int] = []
+    stack: list[tuple[str, bool, str, int, str]] = []  # tag, and what held before it: in an article, unfit by which tag, container by name, tag of the block
+    open_tags: Counter[str] = Counter()
+    inside, hard, holder = False, "", -1
     pieces: list[str] = []
     linked = 0
-    links = 0
     tag_of_block = ""
 
     def flush() -> None:
@@ -110,22 +150,20 @@ def blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
                 found = [w.strip(".,;:!?()[]\"'«»„“”%&*#$-").lower() for w in text.split(" ")]
-                out.append(Block(text, min(1.0, linked / len(text)), sum(w in STOP_WORDS for w in found) / len(found), tag_of_block, inside, unfit))
+                out.append(Block(text, min(1.0, linked / len(text)), len(found), sum(w in STOP_WORDS for w in found), tag_of_block, inside, bool(hard), holder))
         pieces, linked = [], 0
 
     def leave(tag: str) -> None:
-        nonlocal inside, unfit, links, tag_of_block
-        at = len(stack) - 1
-        while at >= 0 and stack[at][0] != tag:
-            at -= 1
-        if at < 0:
+        nonlocal inside, hard, holder, tag_of_block
+        if not open_tags[tag]:
             return
         if tag not in INLINE:
             flush()
-        links -= sum(1 for x in stack[at:] if x[0] == "a")
-        _, inside, unfit = stack[at]
-        del stack[at:]
-        tag_of_block = next((x[0] for x in reversed(stack) if x[0] not in INLINE), "")
+        while True:
+            own, inside, hard, holder, tag_of_block = stack.pop()
+            open_tags[own] -= 1
+            if own == tag:
+                return
 
     place, end = 0, len(page)
     while place < end:
@@ -133,7 +171,7 @@ def blocks(page: str) -> list[Block]:
         text = page[place : m.start() if m else end]
         if text:
             pieces.append(text)
-            if links:
+            if open_tags["a"]:
                 linked += len(_SPACE.sub(" ", text).strip())
         if not m:
             break
@@ -163,71 +201,107 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            if stack and stack[-1][0] in INLINE:  # inline elements left open don't outlive their block
-                while stack and stack[-1][0] in INLINE:
-                    leave(stack[-1][0])
+            while stack and stack[-1][0] in INLINE:  # inline elements left open don't outlive their block
+                leave(stack[-1][0])
             if tag == "p" or tag in HEADINGS or tag in ("li", "dt", "dd", "tr", "td", "th"):
                 while stack and (stack[-1][0] == "p" or stack[-1][0] == tag):
                     leave(stack[-1][0])
-        stack.append((tag, inside, unfit))
-        named = _unfit(tag, rest, inside or tag in CONTENT)
-        if tag in CONTENT and not named and not (inside and unfit):
-            inside, unfit = True, False  # an article inside a container that was never closed still counts
-        else:
-            unfit = unfit or named or tag in SKIPPED
-        if tag == "a":
-            links += 1
+        stack.append((tag, inside, hard, holder, tag_of_block))
+        open_tags[tag] += 1
+        kind = _unfit(tag, rest, inside or tag in CONTENT)
+        if kind == NAMED:
+            parents.append(holder)
+            holder = len(parents) - 1
+        elif kind == HARD or tag in SKIPPED:
+            hard = hard or tag
+        elif tag in CONTENT and (not hard or (hard in UNCLOSED and not inside)):
+            inside, hard = True, ""  # an article inside a container that was never closed still counts
         if tag not in INLINE:
             tag_of_block = tag
     flush()
-    return out
+    return out, parents
 
 
-def first_pass(b: Block) -> int:
-    """The label of a block by itself."""
+def first_pass(b: Block, telling: bool = True) -> int:
+    """The label of a block by itself; `telling` says whether stop words tell anything on its page."""
     if b.bad or b.linked > MOSTLY_LINKED:
         return BAD
-    if b.inside:
-        return OPEN if b.tag in HEADINGS or (b.linked > LINKED and len(b.text) < LONG) else GOOD
-    if b.linked > LINKED:
+    if b.linked > LINKED and not b.inside:
         return BAD
-    if b.tag in HEADINGS or len(b.text) < SHORT:
+    length, stops = b.length, b.n_stops / b.n_words
+    if b.tag in HEADINGS or length < SHORT or (b.linked > LINKED and length < LONG):
         return OPEN
-    if b.stops >= MANY_STOPS:
+    if b.inside or stops >= MANY_STOPS:
         return GOOD
-    if len(b.text) >= LONG:
-        return GOOD if b.stops >= FEW_STOPS and b.tag in ("p", "blockquote", "pre", "li", "td") else BAD
-    return OPEN if b.stops >= FEW_STOPS else BAD
+    if length >= LONG:
+        return GOOD if stops >= FEW_STOPS or not telling else OPEN
+    return OPEN if stops >= FEW_STOPS or not telling else BAD
+
 
+def _forgive(found: list[Block], parents: list[int], telling: bool) -> None:
+    """Marks blocks in containers by name as bad, but for containers that hold MOST of the text with nothing good outside."""
 
-def labels(found: list[Block]) -> list[bool]:
+    def sure(b: Block) -> bool:
+        label = first_pass(b, telling)
+        return label == GOOD or (b.inside and label != BAD)
+
+    held = [0] * len(parents)
+    for b in found:
+        if b.holder >= 0 and not b.bad:
+            held[b.holder] += len(b.text)
+    for c in range(len(parents) - 1, -1, -1):  # an inner container comes after those around it
+        if parents[c] >= 0:
+            held[parents[c]] += held[c]
+    total = sum(len(b.text) for b in found if not b.bad)
+    unfit, forgiven = [True] * len(parents), set()
+    good = any(b.holder < 0 and sure(b) for b in found)
+    for c, parent in enumerate(parents):
+        around = parent >= 0 and unfit[parent]
+        unfit[c] = around or good or held[c] <= MOST * total
+        if not unfit[c]:
+            forgiven.add(c)
+            good = any(b.holder in forgiven and sure(b) for b in found)
+    for b in found:
+        b.bad = b.bad or (b.holder >= 0 and unfit[b.holder])
+
+
+def labels(found: list[Block], parents: list[int]) -> list[bool]:
     """Which blocks are article text, after both passes."""
-    first = [first_pass(b) for b in found]
-    ahead: list[tuple[int, int]] = [(BAD, 1 << 60)] * len(found)
-    label, gap = BAD, 1 << 60
-    for i in range(len(found) - 1, -1, -1):
-        ahead[i] = label, gap
-        if not found[i].bad:
-            label, gap = (first[i], 0) if first[i] != OPEN else (label, gap + len(found[i].text))
-    out, label, gap = [], BAD, 1 << 60
+    telling = sum(b.n_stops for b in found) >= TELLING_STOPS * sum(b.n_words for b in found)
+    _forgive(found, parents, telling)
+    first = [first_pass(b, telling) for b in found]
+
+    def decided(order) -> dict[int, tuple[int, int]]:
+        """For each block, the last decided label among its neighbours in `order` and the characters since; those inside articles stand apart."""
+        state = {True: (OPEN, 0), False: (OPEN, 0)}
+        out = {}
+        for i in order:
+            b = found[i]
+            out[i] = state[b.inside]
+            if not b.bad:
+                label, gap = state[b.inside]
+                state[b.inside] = (first[i], 0) if first[i] != OPEN else (label, gap + len(b.text))
+        return out
+
+    before, after = decided(range(len(found))), decided(range(len(found) - 1, -1, -1))
+    out = []
     for i, b in enumerate(found):
+        (back, back_gap), (ahead, ahead_gap) = before[i], after[i]
         if first[i] != OPEN:
-            out.append(first[i] == GOOD)
-            if not b.bad:
-                label, gap = first[i], 0
-            continue
-        after, distance = ahead[i]
-        got = after if b.tag in HEADINGS and distance < 1 << 60 else (label if label == after or gap <= distance else after)
-        if b.inside and after == BAD and label == BAD and not any(x.inside and f == GOOD for x, f in zip(found, first, strict=True)):
-            got = GOOD
-        out.append(got == GOOD)
-        gap += len(b.text)
-    return out
+            out.append(first[i])
+        elif b.tag in HEADINGS and ahead != OPEN:
+            out.append(ahead)
+        elif OPEN in (back, ahead):
+            out.append(max(back, ahead))  # the one that is decided, if any
+        else:
+            out.append(back if back_gap <= ahead_gap else ahead)
+    sure = any(x == GOOD for x in out)
+    return [x == GOOD or (x == OPEN and (b.inside or not sure)) for x, b in zip(out, found, strict=True)]
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page) if page else []
-    return " ".join(b.text for b, keep in zip(found, labels(found), strict=True) if keep)
+    found, parents = blocks(page) if page else ([], [])
+    return " ".join(b.text for b, keep in zip(found, labels(found, parents), strict=True) if keep)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
