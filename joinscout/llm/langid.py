@@ -1,15 +1,20 @@
 """Language ID (8): multinomial naive Bayes over hashed character n-grams.
 
 Counts of hashed 1- to 3-grams are summed by Spark into a matrix of log-probabilities with one column per language.
-That matrix is bounded by BUCKETS x languages, whatever the corpus, so it goes to all tasks. Batches are scored as one
-sparse lookup over all places of all texts in numpy.
+Every language found is learned. The matrix is bounded by BUCKETS x languages floats, whatever the corpus, so it goes to all tasks;
+more than MOST_LANGUAGES raise an error. Batches are scored as one sparse lookup over all places of all texts in numpy.
 
-Fitting uses at most about `sample` labelled documents a language (a documented bound), picked by a hash of the id.
+Fitting uses at most about `sample` labelled documents a language (a documented bound), picked by a hash of id and text.
 Prediction reads whole texts and nothing but texts.
 
+A posterior says which learned language is likelier, not whether a text is in any of them. `fit_fluency` therefore learns how the
+log-probability of a place is spread over each language's own documents, and `oddness` tells by how many deviations a text's mean
+falls short of that: gibberish and languages that were never learned stand out at any length.
+
 Defined cases: a text that is null or has no letter gets `und` with score 0, and so does every text if nothing could be
 learned. Ties go to the language that sorts first. Repeated rows get equal answers. Rows whose lang is null are never
-learned from. Other columns of the input are kept as they are; the result's columns replace clashing ones.
+learned from; a row with a null doc_id is learned from like any other. Other columns of the input are kept as they are; the
+result's columns replace clashing ones.
 """
 
 from __future__ import annotations
@@ -31,8 +36,10 @@ LOG_BUCKETS = 15
 BUCKETS = ORDERS << LOG_BUCKETS
 #: Labelled documents to learn from, for each language, in expectation.
 SAMPLE = 6000
-#: Languages to learn, the most frequent first; bounds the matrix.
-LANGUAGES = 256
+#: More languages than this make fitting fail, as the matrix (0.4 MB a language) would no longer fit a worker.
+MOST_LANGUAGES = 2048
+#: Languages that a counting task holds at once, and documents a language from which fluency is learned.
+HELD, FLUENCY_SAMPLE = 64, 1000
 #: Bytes of text scored at once; a place takes about 100 bytes of arrays.
 AT_ONCE = 2 << 20
 UNKNOWN = "und"
@@ -86,9 +93,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 have = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 for b in buckets:
                     have += np.bincount(b[place], minlength=BUCKETS)
-    for lang, have in sums.items():
-        at = np.flatnonzero(have)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(have[at], docs[lang]))], names=["lang", "bucket", "n"])
+            if len(sums) > HELD:
+                yield from map(_summed, sums, sums.values(), map(docs.pop, list(sums)))
+                sums.clear()
+    yield from map(_summed, sums, sums.values(), map(docs.get, list(sums)))
+
+
+def _summed(lang: str, have: np.ndarray, docs: int) -> pa.RecordBatch:
+    """Counts of a language's buckets, and of its documents as bucket -1."""
+    at = np.flatnonzero(have)
+    return pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(have[at], docs))], names=["lang", "bucket", "n"])
 
 
 @dataclass(frozen=True)
@@ -96,8 +110,10 @@ class Model:
     langs: tuple[str, ...]
     weights: np.ndarray  # BUCKETS x languages, log-probabilities
     prior: np.ndarray
+    fluency: np.ndarray | None = None  # languages x (mean, variance between documents, variance within), of a place's log-probability
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The language of each text and its probability."""
         names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
         letters = _is_letter()
         known = [i for i, t in enumerate(texts) if t and not t.isspace()]
@@ -109,7 +125,7 @@ class Model:
         total = np.tile(self.prior, (len(known), 1))
         for b in buckets:
             for k in range(len(self.langs)):
-                total[:, k] += np.add.reduceat(self.weights[b, k], cuts)[::2]
+                total[:, k] += np.add.reduceat(self.weights[b, k], cuts, dtype=np.float64)[::2]
         best = total.argmax(1)
         odds = np.exp(total - total.max(1, keepdims=True))
         odds /= odds.sum(1, keepdims=True)
@@ -119,17 +135,31 @@ class Model:
                 names[i], score[i] = self.langs[best[row]], odds[row, best[row]]
         return names, score
 
+    def places(self, text: str, lang: str) -> np.ndarray:
+        """The log-probability of each place of a text that holds a letter, over all orders, in a language."""
+        buckets, begins, ends = grams([text])
+        own = slice(int(begins[0]), int(ends[0]))
+        held = buckets[0][own] != grams([" "])[0][0][2]
+        return sum(self.weights[b[own][held], self.langs.index(lang)].astype(np.float64) for b in buckets)
+
+    def oddness(self, texts: list[str | None], langs: list[str]) -> np.ndarray:
+        """How many deviations the mean log-probability of each text's places lies below what its language is used to; 0 for `und`."""
+        out = np.zeros(len(texts))
+        for i, (text, lang) in enumerate(zip(texts, langs, strict=True)):
+            if lang != UNKNOWN and self.fluency is not None:
+                mean, between, within = self.fluency[self.langs.index(lang)]
+                own = self.places(text, lang)
+                out[i] = (mean - own.mean()) / np.sqrt(between + within / len(own))
+        return out
+
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from the rows of `docs` (doc_id, text, lang) that have a lang, at most about `sample` for each."""
-    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    rates = common.select("lang", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")).alias("rate"))
-    chance = (F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(F.lit((1 << 40) - 1))) / F.lit(float(1 << 40))
-    picked = labelled.join(F.broadcast(rates), "lang").where(chance < F.col("rate")).select("text", "lang")
-    counts = picked.mapInArrow(_counted, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = _picked(docs, sample).mapInArrow(_counted, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counts.toArrow().to_pandas()  # at most (BUCKETS + 1) x languages rows
     langs = tuple(sorted(found.lang.unique()))
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages; at most {MOST_LANGUAGES} can be learned")
     table = np.full((BUCKETS, len(langs)), 0.5)
     prior = np.zeros(len(langs))
     for k, lang in enumerate(langs):
@@ -140,18 +170,54 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     for order in range(ORDERS):
         part = table[order << LOG_BUCKETS : (order + 1) << LOG_BUCKETS]
         part /= part.sum(0)
-    return Model(langs, np.asfortranarray(np.log(table)), np.log(prior / prior.sum()) if len(langs) else prior)
+    return Model(langs, np.asfortranarray(np.log(table).astype(np.float32)), np.log(prior / prior.sum()) if len(langs) else prior)
+
+
+def _picked(docs: DataFrame, sample: int) -> DataFrame:
+    """(text, lang) of about `sample` labelled rows a language, the same on every run."""
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
+    rates = labelled.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")).alias("rate"))
+    chance = F.xxhash64(F.col("doc_id").cast("string"), "text").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
+    return labelled.join(rates, "lang").where(chance < F.col("rate")).select("text", "lang")
+
+
+def fit_fluency(docs: DataFrame, model: Model, sample: int = FLUENCY_SAMPLE) -> Model:
+    """The model with the fluency of its languages, from about `sample` documents each that are predicted as labelled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(shared.value.langs), 4))
+        for part, texts in slices(batches, limit=AT_ONCE):
+            known = part.column(part.schema.get_field_index("lang")).to_pylist()
+            for text, lang, found in zip(texts, known, shared.value.predict(texts)[0], strict=True):
+                if lang == found:
+                    own = shared.value.places(text, lang)
+                    m, v = own.mean(), own.var()
+                    sums[shared.value.langs.index(lang)] += (1, m, m * m, v)
+        yield pa.RecordBatch.from_arrays([pa.array(shared.value.langs, pa.string()), *(pa.array(c) for c in sums.T)], names=["lang", *_SUMS])
+
+    found = _picked(docs, sample).mapInArrow(spread, "lang string, " + ", ".join(f"{c} double" for c in _SUMS)).groupBy("lang").agg(*(F.sum(c).alias(c) for c in _SUMS)).collect()
+    fluency = np.tile((0.0, np.inf, np.inf), (len(model.langs), 1))  # a language without such documents finds nothing odd
+    for r in found:
+        if r["n"]:
+            mean, within = r["m"] / r["n"], r["v"] / r["n"]
+            fluency[model.langs.index(r["lang"])] = mean, max(r["mm"] / r["n"] - mean * mean, 0.0), within + 1e-9
+    return Model(model.langs, model.weights, model.prior, fluency)
+
+
+_SUMS = ("n", "m", "mm", "v")
 
 
-def classify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Adds the language and its probability to each row, named by `names`; narrow, without a shuffle."""
+def classify(docs: DataFrame, model: Model, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the language and its probability to each row, named by `names`, and a third name's oddness; narrow, without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, limit=AT_ONCE):
             langs, score = shared.value.predict(texts)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score)], names=[*part.schema.names, *names])
+            odd = [pa.array(shared.value.oddness(texts, langs))] if len(names) > 2 else []
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score), *odd], names=[*part.schema.names, *names])
 
     source = docs.drop(*names)
-    schema = T.StructType([*source.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    schema = T.StructType([*source.schema.fields, T.StructField(names[0], T.StringType()), *(T.StructField(n, T.DoubleType()) for n in names[1:])])
     return source.mapInArrow(scored, schema)
