@@ -1,8 +1,10 @@
 """Near copies by similarity: documents whose sets of word shingles have a Jaccard similarity of LEAST or more.
 
-1. Each text's shingles are hashed as in simhash; equal sets are one node. BANDS bands of ROWS MinHash values name buckets; two
-   sets of similarity 0.8 share none with a chance of (1 - 0.8**ROWS)**BANDS, 5e-8.
-2. Nodes of a bucket are linked to its smallest one, and components of those links hold all pairs that share a bucket.
+1. Each text's shingles are hashed as in simhash; equal sets are one node. Candidates come from two sides: simhash's fingerprints of
+   these sets, linked within its RADIUS by its pigeonhole, and BANDS bands of ROWS MinHash values that name buckets. Fingerprints
+   reach the closest pairs only (similarity 0.8 means about ten bits apart, where parts of 64 bits no longer prune); two sets of
+   similarity 0.8 share no band with a chance of (1 - 0.8**ROWS)**BANDS, 5e-8.
+2. Nodes of a bucket are linked to its smallest one, and components of all links hold all candidate pairs.
 3. Sets meet once by such component, cut into a grid of cells above CELL nodes, and are compared exactly there; a cell gives a
    spanning forest of its links, never all pairs. Components follow from those.
 
@@ -19,9 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from joinscout.llm.common import Scratch, slices
+from joinscout.llm.common import Scratch, slices, unused
 from joinscout.llm.components import components
 from joinscout.llm.neighbours import _groups
+from joinscout.llm.simhash import links as simhash_links
+from joinscout.llm.simhash import majority
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
@@ -54,21 +58,22 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, bands, shingles) of each row; node names the set."""
+    """(doc_id, text_hash, node, fp, bands, shingles) of each row; node names the set."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            raw, nodes, named = [], [], []
+            raw, nodes, fps, named = [], [], [], []
             for text in texts:
                 own = shingles(text)
                 raw.append(own.tobytes())
                 nodes.append(xxhash.xxh64_intdigest(raw[-1], SEED))
+                fps.append(majority(own))
                 named.append(bands(own))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(named)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), lists, pa.array(raw, pa.binary())], names=["doc_id", "text_hash", "node", "bands", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(fps, np.uint64).view(np.int64)), lists, pa.array(raw, pa.binary())], names=["doc_id", "text_hash", "node", "fp", "bands", "shingles"])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text")).mapInArrow(sketched, "doc_id bigint, text_hash bigint, node bigint, bands array<bigint>, shingles binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text")).mapInArrow(sketched, "doc_id bigint, text_hash bigint, node bigint, fp bigint, bands array<bigint>, shingles binary")
 
 
 def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -126,11 +131,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between the nodes of `rows` (of sketches) that span all pairs of LEAST similarity that share a bucket."""
-    one = rows.groupBy("node").agg(F.first("bands").alias("bands"))
+    """Links (a, b) between the nodes of `rows` (of sketches) that span all pairs of LEAST similarity among the candidates."""
+    one = rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("fp").alias("fp"))
+    named = scratch.keep(one.groupBy("fp").agg(F.min("node").alias("rep")))
+    print_links = simhash_links(named, scratch.spark).unionByName(one.join(named, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
     dealt = one.select(F.explode("bands").alias("band"), "node").repartition("band").sortWithinPartitions("band", "node")
-    stars = dealt.mapInArrow(_stars, "a bigint, b bigint").distinct()
-    near = scratch.keep(components(stars, scratch))
+    stars = dealt.mapInArrow(_stars, "a bigint, b bigint")
+    near = scratch.keep(components(stars.unionByName(print_links), scratch))
     sized = near.join(near.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("chunks")), "component")
     sets = rows.select("node", "shingles").join(sized, "node").dropDuplicates(["node"])
     own = F.pmod(F.xxhash64("node"), F.col("chunks"))
@@ -151,9 +158,10 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     keys = rows.select("node", "doc_id", "text_hash").distinct()
     grouped = keys.join(linked, "node", "left").withColumn("group", F.coalesce("component", "node"))
     least = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
-    kept = scratch.keep(least.select(_key("x.doc_id").alias("_key"), F.col("x.text_hash").alias("_text_hash")))
+    key, text_hash, nth = unused(docs.columns, "key", "text_hash", "nth")
+    kept = scratch.keep(least.select(_key("x.doc_id").alias(key), F.col("x.text_hash").alias(text_hash)))
     scratch.drop(rows)
     scratch.free_shuffles()
-    hashed = docs.withColumns({"_key": _key("doc_id"), "_text_hash": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    first = Window.partitionBy("_key", "_text_hash").orderBy("text")
-    return hashed.join(kept, ["_key", "_text_hash"], "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
+    hashed = docs.withColumns({key: _key("doc_id"), text_hash: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    first = Window.partitionBy(key, text_hash).orderBy("text")
+    return hashed.join(kept, [key, text_hash], "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*docs.columns)

@@ -7,13 +7,15 @@
    The estimates come from histograms of at most 2**16 values a part, whatever the corpus: a proven bound to broadcast.
 4. Index and probe rows meet by (part, value). Buckets above CELL rows are cut into a grid of cells, so that no task
    gathers a large group; probes are streamed past the cell's index rows in numpy and verified.
-5. A cell gives a spanning forest of its links, at most one link a row, never all pairs. Components follow from those.
+5. What is found is reduced in numpy, for PAIRS_AT_ONCE pairs at a time, to a spanning forest of its links: at most one link a
+   row, never all pairs. Components follow from those.
 
 The number of parts falls as the corpus grows (the values get longer), which changes cost but never the result.
 
 Defined cases: null, empty and blank texts have no words and the fingerprint 0, linked like any other. Texts of fewer
 words than a shingle use the whole sequence. Repeated rows share a fingerprint. A row with a null doc_id keeps its row and takes
-the component of its fingerprint. Other columns of the input are kept out of the result.
+the component of its fingerprint, a null one if no row with an id has that. Rows of one doc_id with unequal texts are one node: the id
+reaches what any of them reaches. Other columns of the input are kept out of the result.
 """
 
 from __future__ import annotations
@@ -52,8 +54,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     n = max(1, len(found) - shingle + 1)
     spans = zip(begins[:n].tolist(), ends[min(shingle, len(found)) - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
-    ones = np.zeros(64, np.int64)
+    return majority(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for i in range(0, n, 1 << 15):
         ones += np.unpackbits(hashes[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int((np.uint64(1) << _PLACES[2 * ones > n]).sum(dtype=np.uint64))
@@ -123,7 +129,7 @@ def number_of_parts(n: int, radius: int = RADIUS) -> int:
         probes = sum(sum(len(list(combinations(range(width), d))) for d in range(e)) for e in shells)
         return parts + probes + probes * n / 2**width / 400
 
-    return min((4, 3, 2), key=cost)
+    return min((p for p in (4, 3, 2) if p == 4 or radius + 1 <= SHELLS * p), key=cost)
 
 
 class Plan:
@@ -216,30 +222,30 @@ def _dealer(plan):
     return deal
 
 
-class _Forest:
-    """Spanning links of one cell, over its index rows."""
-
-    def __init__(self) -> None:
-        self.root: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        root = self.root
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = root.setdefault(up, up)
-            x = up
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        self.root[max(a, b)] = min(a, b)
-        return a != b
+def spanning(a: np.ndarray, b: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the links a - b that join, after the `known` ones, what isn't joined yet: a spanning forest."""
+    nodes, flat = np.unique(np.concatenate((*known, a, b)), return_inverse=True)
+    k, n = len(known[0]), len(a)
+    root, keep = np.arange(len(nodes)), np.zeros(n, bool)
+    for left, right, new in ((flat[:k], flat[k : 2 * k], False), (flat[2 * k : 2 * k + n], flat[2 * k + n :], True)):
+        at = np.arange(len(left))
+        while len(at):  # each root hooks onto a smaller one by one of its links; then paths are shortened
+            one, other = root[left[at]], root[right[at]]
+            apart = one != other
+            at, one, other = at[apart], one[apart], other[apart]
+            above, first = np.unique(np.maximum(one, other), return_index=True)
+            root[above] = np.minimum(one, other)[first]
+            if new:
+                keep[at[first]] = True
+            while not np.array_equal(up := root[root], root):
+                root = up
+    return a[keep], b[keep]
 
 
 def _verifier(radius: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (key, cell, role): each cell's index rows, then its probes."""
         held, index_fp, index_rep = None, np.empty(0, np.uint64), np.empty(0, np.int64)
-        linked, forest = None, _Forest()
         for b in batches:
             key, cell, role, fp, rep = (b.column(i).to_numpy() for i in range(5))
             if not len(key):
@@ -257,7 +263,7 @@ def _verifier(radius: int):
             probes = np.flatnonzero(~is_index)
             probes = probes[size[group[probes]] > 0]
             ends = np.cumsum(size[group[probes]])
-            a, z, done = [], [], 0
+            done, sent = 0, (np.empty(0, np.int64), np.empty(0, np.int64))  # chunks of one cell mostly find the same links
             while done < len(probes):
                 upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS_AT_ONCE, "right")))
                 own = probes[done:upto]
@@ -265,35 +271,30 @@ def _verifier(radius: int):
                 left = np.repeat(own, n)
                 right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[group[own]], n)
                 near = np.bitwise_count(fp[left] ^ index_fp[right]) <= radius
-                left, right = left[near], right[near]
-                probe = None
-                for q, i, row in zip(rep[left].tolist(), index_rep[right].tolist(), left.tolist(), strict=True):
-                    if row != probe:
-                        probe, anchor = row, i
-                        if linked != (here := (key[row], cell[row])):
-                            linked, forest = here, _Forest()
-                        if q != i:
-                            a.append(q)
-                            z.append(i)
-                    elif forest.join(anchor, i):
-                        a.append(anchor)
-                        z.append(i)
+                a, z = spanning(rep[left[near]], index_rep[right[near]], sent)
+                if len(a):
+                    sent = np.concatenate((sent[0], a)), np.concatenate((sent[1], z))
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], names=["a", "b"])
                 done = upto
             held = key[-1], cell[-1]
             index_fp, index_rep = index_fp[first[-1] :], index_rep[first[-1] :]
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
 
     return verify
 
 
 def links(nodes: DataFrame, spark: SparkSession, radius: int = RADIUS, parts: int | None = None) -> DataFrame:
-    """Links (a, b) between the reps of `nodes` (fp, rep; distinct fps) that span all pairs within `radius` bits."""
+    """Links (a, b) between the reps of `nodes` (fp, rep; distinct fps) that span all pairs within `radius` bits.
+
+    Fewer parts than radius + 1 shells can be dealt to raise an error, as links would be lost.
+    """
     together = nodes.select("fp").mapInArrow(_together, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     flat = np.zeros(4097)
     flat[together["at"].to_numpy()] = together["n"].to_numpy()
     n = int(flat[4096])
-    places = grouped_bits(flat[:4096].reshape(64, 64), n, parts or number_of_parts(n, radius))
+    parts = parts or number_of_parts(n, radius)
+    if radius + 1 > SHELLS * parts:
+        raise ValueError(f"{parts} parts of {SHELLS} shells don't cover a radius of {radius}")
+    places = grouped_bits(flat[:4096].reshape(64, 64), n, parts)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros(1 << min(16, len(p)), np.int64) for p in places]
