@@ -4,8 +4,8 @@
 that new policies and ablations are bitwise operations over the ledger and never read a text again.
 
 Defined cases: a null or empty text has no words, all measurements 0 and fails `few_words`. Repeated rows are
-measured each by itself. Other columns of the input stay out of the result unless asked for by `carry`. An empty table
-gives an empty ledger.
+measured each by itself. Other columns of the input stay out of the result unless asked for by `carry`; a carried column with the name
+of a measurement gives way to that. An empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -115,6 +115,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ledger(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`carry`, the measurements and failed_bits, one row per row of `docs`; narrow, without a shuffle."""
+    carry = tuple(c for c in dict.fromkeys(carry) if c not in (*MEASURES, "failed_bits", "text"))
     source = docs.select(*carry, F.col("text").cast("string").alias("text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "text"), *(f"{m} bigint" for m in MEASURES)])
     measured = source.mapInArrow(_measured, schema)

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from joinscout.llm.common import unused
+
 #: Base patterns, fixed by the contract, then the weak ones. Order of kinds is the order of ties.
 PATTERNS: dict[str, str] = {
     "assign": r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -113,19 +115,20 @@ def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "[SECRET]") -> DataF
             F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.get(done, F.size(done) - 1)["a"].alias("a"), F.greatest(F.get(done, F.size(done) - 1)["z"], x["end"]).alias("z")))),
         ).otherwise(F.concat(done, F.array(F.struct(x["start"].alias("a"), x["end"].alias("z"))))),
     )
-    cuts = found.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), merged.alias("_cuts"))
-    both = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = both.join(cuts, both.doc_id.eqNullSafe(cuts._doc) & (both._text_hash == cuts._hash), "left")
+    doc, own_hash, text_hash, held = unused(docs.columns, "doc", "own_hash", "text_hash", "cuts")
+    cuts = found.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(own_hash), merged.alias(held))
+    both = docs.withColumn(text_hash, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    joined = both.join(cuts, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(text_hash) == F.col(own_hash)), "left")
     kept = F.transform(
-        F.sequence(F.lit(0), F.size("_cuts")),
+        F.sequence(F.lit(0), F.size(held)),
         lambda i: F.substring(
             F.col("text"),
-            (F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("_cuts"), i - 1)["z"]) + 1).cast("int"),
-            F.when(i == F.size("_cuts"), F.length("text")).otherwise(F.get(F.col("_cuts"), i)["a"] - F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("_cuts"), i - 1)["z"])).cast("int"),
+            (F.when(i == 0, F.lit(0)).otherwise(F.get(F.col(held), i - 1)["z"]) + 1).cast("int"),
+            F.when(i == F.size(held), F.length("text")).otherwise(F.get(F.col(held), i)["a"] - F.when(i == 0, F.lit(0)).otherwise(F.get(F.col(held), i - 1)["z"])).cast("int"),
         ),
     )
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, mark))
+    text = F.when(F.col(held).isNull(), F.col("text")).otherwise(F.array_join(kept, mark))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long"))
+        out = out.withColumn("n_chars", F.when(F.col(held).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long"))
     return out.select(*docs.columns)

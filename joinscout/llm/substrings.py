@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from joinscout.llm.common import Scratch, slices
+from joinscout.llm.common import Scratch, slices, unused
 
 WINDOW = 20
 ANCHOR = 5
@@ -224,16 +224,16 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def _applied(added: tuple[str, str, str]):
+def _applied(added: tuple[str, str, str], held: str):
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            yield _apply(part, texts, added)
+            yield _apply(part, texts, added, held)
 
     return applied
 
 
-def _apply(part: pa.RecordBatch, texts: list[str | None], added: tuple[str, str, str]) -> pa.RecordBatch:
-    ranges = part.column(part.schema.get_field_index("_ranges"))
+def _apply(part: pa.RecordBatch, texts: list[str | None], added: tuple[str, str, str], held: str) -> pa.RecordBatch:
+    ranges = part.column(part.schema.get_field_index(held))
     sizes = ranges.fill_null([]).value_lengths().to_pylist() if part.num_rows else []
     flat = ranges.flatten()
     begins, ends = flat.field(0).to_numpy(), flat.field(1).to_numpy()
@@ -250,7 +250,7 @@ def _apply(part: pa.RecordBatch, texts: list[str | None], added: tuple[str, str,
             at += size
         n_removed.append(n_words[-1] - len(own))
         kept.append(b" ".join(own).decode("utf-8", "surrogatepass"))
-    names = [n for n in part.schema.names if n != "_ranges"]
+    names = [n for n in part.schema.names if n != held]
     rest = [part.column(part.schema.get_field_index(n)) for n in names]
     return pa.RecordBatch.from_arrays([*rest, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[*names, *added])
 
@@ -260,7 +260,9 @@ def deduplicate(docs: DataFrame, added: tuple[str, str, str] = ("n_words", "n_re
     source = docs.drop(*added)
     scratch = Scratch(docs.sparkSession, "substrings")
     ranges = repeated_ranges(source.select("doc_id", F.col("text").cast("string").alias("text")), scratch)
-    by_doc = ranges.groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("start", "end")).alias("_ranges"))
-    joined = source.join(by_doc, (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)) == by_doc._doc) & (F.xxhash64(F.col("text").cast("string")) == by_doc._hash), "left").drop("_doc", "_hash")
+    doc, text_hash, held = unused(source.columns, "doc", "text_hash", "ranges")
+    by_doc = ranges.groupBy(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash)).agg(F.collect_list(F.struct("start", "end")).alias(held))
+    keyed = source.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), text_hash: F.xxhash64(F.col("text").cast("string"))})
+    joined = keyed.join(by_doc, [doc, text_hash], "left").drop(doc, text_hash)
     schema = T.StructType([*source.schema.fields, *(T.StructField(n, k) for n, k in zip(added, (T.LongType(), T.LongType(), T.StringType()), strict=True))])
-    return joined.mapInArrow(_applied(added), schema)
+    return joined.mapInArrow(_applied(added, held), schema)

@@ -68,6 +68,34 @@ def test_packing_finds_the_cheapest_cuts():
         assert got == best[len(places) - 1]
 
 
+@pytest.mark.parametrize("window", [256, 300])
+def test_packing_uses_windows_of_a_power_of_two(window):
+    rng, short = random.Random(window), 0
+    for _ in range(60):
+        places = sorted({0, *rng.sample(range(1, 900), 60), *(64 * k for k in range(1, 12))})
+        costs = [0, *(rng.choice([0, 4, 16]) + packing.SEQUENCE for _ in places[1:])]
+
+        def padded(n):
+            return 0 if n in (64, 128, 256) else window - n
+
+        best = {0: 0}
+        for j in range(1, len(places)):
+            best[j] = costs[j] + min(best[i] + padded(places[j] - places[i]) for i in range(j) if places[j] - places[i] <= window)
+        cuts = packing.choose_cuts(np.array(places), np.array(costs), window)
+        sizes = [places[j] - places[i] for i, j in zip(cuts, cuts[1:], strict=False)]
+        assert sum(costs[j] for j in cuts[1:]) + sum(map(padded, sizes)) == best[len(places) - 1]
+        short += sum(n in (64, 128) for n in sizes)
+    assert short > 0
+
+
+@pytest.mark.parametrize("text", [" " * 10**6 + "a", "\n" * 10**6 + "b", " " * 10**6, "a" * 10**6, "\U0001f600" * 250000, " \t" * 300000 + "b c"])
+def test_packing_takes_long_runs(text):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids == packing.tokens(path).encode(text).tolist()
+
+
 def test_packing_ids_are_the_tokenizer_librarys():
     from tokenizers import Tokenizer
 
@@ -232,6 +260,59 @@ def test_language_id(spark):
     assert langid.fit(train, sample=5).langs == model.langs
 
 
+def test_language_id_against_plain_naive_bayes(spark):
+    import collections
+    import math
+
+    rng = random.Random(16)
+    rows = [(i, " ".join("".join(rng.choice("abcdef" if lang == "x" else "cdefgh") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 30))), lang) for i, lang in enumerate("xyy" * 40)]
+    counts, docs = {k: collections.Counter() for k in "xy"}, collections.Counter(r[2] for r in rows)
+
+    def buckets(text):
+        out, begins, ends = langid.grams([text])
+        return [b for own in out for b in own[begins[0] : ends[0]].tolist()]
+
+    for _, text, lang in rows:
+        counts[lang].update(buckets(text))
+    size = 1 << langid.LOG_BUCKETS
+    totals = {k: [sum(n for b, n in c.items() if b >> langid.LOG_BUCKETS == o) + 0.5 * size for o in range(langid.ORDERS)] for k, c in counts.items()}
+    frame = spark.createDataFrame([*rows, (None, "abc fed", "x")], "doc_id long, text string, lang string")
+    model = langid.fit(frame.where("doc_id IS NOT NULL"))
+    tests = ["abc def", "gh", "f", "cde fgh cde", "Ab\ufb01cd", "x" * 50]
+    got = model.predict(tests)
+    for text, name, score in zip(tests, *got, strict=True):
+        logs = {k: math.log(docs[k] / len(rows)) + sum(math.log((counts[k][b] + 0.5) / totals[k][b >> langid.LOG_BUCKETS]) for b in buckets(text)) for k in "xy"}
+        best = max("xy", key=logs.get)
+        assert name == best and score == pytest.approx(1 / sum(math.exp(v - logs[best]) for v in logs.values()), rel=1e-3)
+    assert langid.fit(frame).prior[0] > model.prior[0]  # a null doc_id is learned from
+
+
+def test_language_id_learns_all_languages_or_fails(spark, monkeypatch):
+    monkeypatch.setattr(langid, "HELD", 3)
+    rows = [(i, chr(0x61 + i % 26) * 3 + chr(0x3B1 + i // 26) * 3, f"l{i:03}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    model = langid.fit(docs)
+    assert len(model.langs) == 300 and langid.classify(docs, model).where("lang = lang_pred").count() == 300
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 299)
+    with pytest.raises(ValueError, match="300 languages"):
+        langid.fit(docs)
+
+
+def test_oddness(spark):
+    rng = random.Random(17)
+
+    def text(letters, n):
+        return " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+
+    docs = spark.createDataFrame([(i, text("abcdefgh", 5 + i % 60), "aa") for i in range(120)], "doc_id long, text string, lang string")
+    model = langid.fit_fluency(docs, langid.fit(docs))
+    tests = [text("abcdefgh", n) for n in (1, 10, 1000)] + [text("qrstuvwxyz", n) for n in (30, 1000)] + [None, "12"]
+    odd = model.oddness(tests, model.predict(tests)[0])
+    assert (odd[:3] < 6).all() and (odd[3:5] > 25).all() and (odd[5:] == 0).all()
+    nothing = langid.fit_fluency(docs.limit(0), langid.fit(docs))
+    assert nothing.oddness(tests[3:4], ["aa"])[0] == 0
+
+
 def fingerprint_by_definition(text):
     ws = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     ws = re.findall(r"[^\x20\x09-\x0D]+", ws)
@@ -303,6 +384,48 @@ def test_links_span_all_pairs_within_the_radius(spark, parts, monkeypatch):
     assert len({find(i) for i in want}) == len(set(want.values()))
 
 
+def test_spanning_links():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 30, 400):
+        a, b = rng.integers(0, 300, n), rng.integers(0, 300, n)
+        k = n // 3
+        x, y = simhash.spanning(a[k:], b[k:], (a[:k], b[:k]))
+        assert set(zip(x.tolist(), y.tolist(), strict=True)) <= set(zip(a.tolist(), b.tolist(), strict=True))
+
+        def groups(u, v):
+            root = {i: i for i in range(300)}
+
+            def find(i):
+                while root[i] != i:
+                    i = root[i]
+                return i
+
+            for i, j in zip(u.tolist(), v.tolist(), strict=True):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+            return [find(i) for i in range(300)]
+
+        assert groups(a, b) == groups(np.append(a[:k], x), np.append(b[:k], y))
+        assert len(set(groups(a[:k], b[:k]))) - len(set(groups(a, b))) == len(x)
+
+
+def test_simhash_refuses_a_radius_that_its_parts_cannot_cover(spark):
+    nodes = spark.createDataFrame([(0, 0), (1, 1)], "fp long, rep long")
+    with pytest.raises(ValueError, match="don't cover"):
+        simhash.links(nodes, spark, radius=12)
+
+
+def test_clashing_names(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, 7, 7, 7, 7, 7), (2, long, 8, 8, 8, 8, 8), (3, 'token = "abcdefgh1"', 9, 9, 9, 9, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc int, text_hash int, ranges int, cuts int, own_hash int")
+    got = {r["doc_id"]: r for r in substrings.deduplicate(docs).collect()}
+    assert [got[i]["n_removed"] for i in (1, 2, 3)] == [0, 40, 0] and [got[i][c] for i in (1, 2) for c in ("doc", "ranges", "text_hash")] == [7, 7, 7, 8, 8, 8]
+    clean = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
+    assert clean[3]["text"] == '[SECRET]"' and clean[1]["text"] == long and [clean[3][c] for c in ("doc", "cuts", "own_hash", "text_hash")] == [9] * 4
+    carried = docs.withColumn("n_words", F.lit(-1))
+    assert {r["n_words"] for r in quality.ledger(carried, carry=("doc_id", "n_words")).collect()} == {40, 4 - 1}
+
+
 def test_html():
     page = """<html><head><title>t</title><script>var a="<p>x</p>";</script></head><body><header><h2>Site</h2></header><nav><a href=x>Home</a></nav>
 <div class="cookie-notice">We use cookies to improve the site and for the ads of our partners that are on this page today.</div>
@@ -315,6 +438,95 @@ def test_html():
     assert [html_text.main_text(x) for x in (None, "", "<p", "<!-- <p>x</p>", "<script>x", "</p></div>", "<article>\x00<b>x</b>y &lt;p&gt;</article>")] == ["", "", "", "", "", "", "\x00xy <p>"]
 
 
+PROSE = "This is the first sentence of the article that we wrote. It is long enough to be seen as text by the rules. And this is a third sentence of it, so that it is long."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="no-sidebar"><p>{}</p></body>', '<body class="single-post has-sidebar"><p>{}</p></body>', '<body class="with-ads"><p>{}</p>', '<body class="page-banner"><p>{}</p>',
+        '<article class="post comments-open"><p>{}</p></article>', '<article class="social-science-article"><p>{}</p></article>', '<div id="page-banner"><p>{}</p></div>', '<form id="main"><div><p>{}</p></div></form>',
+        '<div class="social-science-content"><p>{}</p></div>', '<div class="post"><p>{}</p></div><div class="ad-box"><p>Buy this and that for the price of it and more of the same for you and all of us.</p></div>',
+        '<div id="comments"><article><p>I like the article and all that is in it, and so does my friend.</p></article></div><article><p>{}</p></article>', '<main><p>{}</p><aside><article><p>Read the other one as well.</p></article></aside></main>',
+    ],
+)
+def test_html_keeps_articles_whatever_their_class_says(page):
+    assert html_text.main_text(page.replace("{}", PROSE)) == PROSE
+
+
+def test_html_of_other_languages_and_short_pages():
+    chinese, technical = "中文段落。" * 112, ("kubectl get pods namespace=x; docker run image:tag --rm; " * 8).strip()
+    assert html_text.main_text(f"<nav><a href=x>x</a></nav><div><p>{chinese}</p></div>") == chinese
+    assert html_text.main_text(f"<div>{technical}</div>") == technical
+    assert html_text.main_text("<nav>Home</nav><h1>Title</h1><p>One short paragraph.</p><footer>f</footer>") == "Title One short paragraph."
+
+
+def test_html_takes_linear_time():
+    import time
+
+    for page in ("<div>" * 20000 + "x" + "</span>" * 20000, "<article>" + "<h2>a</h2>" * 6000 + "</article>", "<span>" * 20000 + "x" + "</i>" * 20000, "<div class=ad>" * 20000 + "x", "<article><div class=ad><p>x</p></div>" * 5000):
+        began = time.time()
+        html_text.main_text(page)
+        assert time.time() - began < 2
+
+
+def labels_by_definition(found, parents):
+    """The two passes as the docstring states them, block by block, for pages without containers by name."""
+    assert not parents
+    share = sum(b.n_stops for b in found) / max(1, sum(b.n_words for b in found))
+    first = []
+    for b in found:
+        dense = b.n_stops / b.n_words
+        if b.bad or b.linked > 0.5 or (b.linked > 0.33 and not b.inside):
+            first.append("bad")
+        elif b.tag in html_text.HEADINGS or b.length < 70 or (b.linked > 0.33 and b.length < 200):
+            first.append("open")
+        elif b.inside or dense >= 0.2:
+            first.append("good")
+        elif share < 0.05:
+            first.append("good" if b.length >= 200 else "open")
+        elif b.length >= 200:
+            first.append("good" if dense >= 0.08 else "open")
+        else:
+            first.append("open" if dense >= 0.08 else "bad")
+    second = list(first)
+    for i, b in enumerate(found):
+        if first[i] != "open":
+            continue
+        near = {}
+        for way in (-1, 1):
+            j, gap = i + way, 0
+            while 0 <= j < len(found):
+                if found[j].inside == b.inside and not found[j].bad:
+                    if first[j] != "open":
+                        near[way] = (gap, first[j])
+                        break
+                    gap += len(found[j].text)
+                j += way
+        if b.tag in html_text.HEADINGS and 1 in near:
+            second[i] = near[1][1]
+        elif near:
+            second[i] = min(near.items(), key=lambda x: (x[1][0], x[0]))[1][1]
+    return [x == "good" or (x == "open" and (b.inside or "good" not in second)) for x, b in zip(second, found, strict=True)]
+
+
+def test_html_passes_against_a_plain_version():
+    rng = random.Random(12)
+    stops, others = sorted(html_text.STOP_WORDS), [f"word{i}" for i in range(50)]
+    for _ in range(300):
+        page, rate = [], rng.choice([0, 0.05, 0.15, 0.3])
+        for _ in range(rng.randrange(1, 14)):
+            text = " ".join(rng.choice(stops if rng.random() < rate * rng.choice([0, 1, 2]) else others) for _ in range(rng.choice([1, 3, 8, 14, 40])))
+            text = f"<a href=x>{text}</a> tail of it" if rng.random() < 0.15 else text
+            tag = rng.choice(["p", "div", "h2", "li", "nav"])
+            page.append(f"<{tag}>{text}</{tag}>")
+            if rng.random() < 0.2:
+                page.append(rng.choice(["<article>", "</article>"]))
+        found, parents = html_text.blocks("".join(page))
+        want = labels_by_definition(found, parents)
+        assert html_text.labels(found, parents) == want, page
+
+
 def test_html_over_a_table(spark):
     rows = [(1, "u", "<article><p>one</p></article>", "clash", 7), (2, None, None, "clash", 7), (1, "u", "<article><p>one</p></article>", "clash", 7), (3, "v", "<article>" + "<p>word " * 50000 + "</article>", "x", 1)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long"))

@@ -34,6 +34,7 @@ def folder(spark, tmp_path_factory):
             text += ' token = "qwertyuiop12345" ' + words(lang, 5)
         rows.append((i, text, lang, "s", len(text)))
     rows += [(100, rows[3][1], "bb", "s", 1), (101, rows[4][1].upper(), "aa", "s", 1), (102, "12 34 !!", "aa", "s", 8), (103, None, None, "s", 0), (104, shared, "aa", "s", len(shared)), rows[6]]
+    rows += [(105, " ".join("".join(rng.choice("uvwxyz") for _ in range(6)) for _ in range(80)), None, "s", 5)]  # in no language
     at = tmp_path_factory.mktemp("sf")
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(at / "documents.parquet"))
     return str(at), rows
@@ -42,10 +43,11 @@ def folder(spark, tmp_path_factory):
 def test_pipeline_matches_plain_version(spark, folder):
     at, rows = folder
     docs = spark.read.parquet(f"{at}/documents.parquet")
-    model = langid.fit(docs)
+    model = langid.fit_fluency(docs, langid.fit(docs))
     names, score = model.predict([r[1] for r in rows])
-    kept = {r[0]: r[1] for r, n, s in zip(rows, names, score, strict=True) if n != "und" and s >= 0.5}
-    assert set(kept) == {r[0] for r in rows} - {102, 103}
+    odd = model.oddness([r[1] for r in rows], names)
+    kept = {r[0]: r[1] for r, n, s, o in zip(rows, names, score, odd, strict=True) if n != "und" and s >= 0.5 and o <= corpus_pipeline.MOST_ODD}
+    assert set(kept) == {r[0] for r in rows} - {102, 103, 105}
     groups = components_by_search([fingerprint_by_definition(t) for t in kept.values()], list(kept))
     kept = {i: t for i, t in kept.items() if groups[i] == i}
     assert 100 not in kept and 101 not in kept
@@ -77,6 +79,23 @@ def test_stages_keep_columns_and_take_empty_tables(spark, folder):
             assert out.columns == docs.columns
 
 
+def test_stages_keep_rows_without_id_and_columns_of_any_name(spark):
+    words = [" ".join(f"{k}word{i}" for i in range(60)) for k in "abcd"]
+    rows = [(None, words[0], "aa", 3, "v1"), (None, words[1], "aa", 3, "v2"), (1, words[2], "aa", 3, "v3"), (2, words[2], "aa", 3, "v4"), (7, words[3] + ' token="abcdefg1"', "aa", 3, "v5"), (8, None, None, 3, "v6")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, lang_pred string").withColumnsRenamed({"score": "nth", "lang_pred": "key"})
+    wide = docs.selectExpr("*", "1 AS text_hash", "2 AS ranges", "3 AS doc", "4 AS cuts", "5 AS odd", "6 AS score", "7 AS kept", "8 AS n_words")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, "")
+        assert out.columns == wide.columns
+        seen[name] = out.collect()
+        assert all([r[c] for c in ("text_hash", "ranges", "doc", "cuts", "odd", "score", "kept", "n_words", "nth")] == [1, 2, 3, 4, 5, 6, 7, 8, 3] for r in seen[name])
+    assert sorted(r["key"] for r in seen["language_id"]) == ["v1", "v2", "v3", "v4", "v5"]
+    assert sorted(r["key"] for r in seen["simhash_near_dedup"]) == ["v1", "v2", "v3", "v5", "v6"]
+    assert sorted(r["key"] for r in seen["substring_dedup"]) == ["v1", "v2", "v3", "v5", "v6"]
+    assert sum("[SECRET]" in (r["text"] or "") for r in seen["secret_scans"]) == 1
+
+
 def test_near_copies_of_similarity_08_go(spark, monkeypatch):
     from joinscout.llm import alike
 
