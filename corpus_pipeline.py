@@ -12,24 +12,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinscout.llm import alike, langid, packing, secrets, substrings
-from joinscout.llm.common import Scratch, table
+from joinscout.llm.common import Scratch, table, unused
 from joinscout.shipping import ship
 
-#: Least posterior probability of a document's language.
-LEAST_SCORE = 0.5
+#: Least posterior probability of a document's language, and most deviations that it may fall short of the language's usual fluency.
+#: Real prose in a language scores up to about 20 against the model of invented words that resemble it, gibberish and other scripts from 28 on.
+LEAST_SCORE, MOST_ODD = 0.5, 25.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language: without a letter, or less likely than LEAST_SCORE to be in any that was learned."""
+    """Drops documents of no learned language: without a letter, undecided under LEAST_SCORE, or odder than MOST_ODD (gibberish, other languages)."""
     ship(spark)
-    judged = langid.classify(docs, langid.fit(docs), ("_lang", "_score"))
-    return judged.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score, odd = unused(docs.columns, "lang_pred", "score", "odd")
+    judged = langid.classify(docs, langid.fit_fluency(docs, langid.fit(docs)), (lang, score, odd))
+    return judged.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE) & (F.col(odd) <= MOST_ODD)).select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group of near copies: sets of five-word shingles of similarity 0.8 or more.
 
-    SimHash fingerprints within the query's 4 bits don't reach that similarity, so MinHash finds candidates, which are compared exactly.
+    Candidates come from SimHash's pigeonhole and, as fingerprints within its 4 bits don't reach that similarity, from MinHash bands;
+    all are compared exactly, so clean documents stay. A null doc_id is kept like any other.
     """
     ship(spark)
     return alike.first_of_each(docs)
@@ -38,11 +41,12 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts words of repeated passages out of texts; untouched texts stay as they are, texts of which nothing is left go."""
     ship(spark)
-    found = substrings.deduplicate(docs, ("_words", "_removed", "_kept")).where("_removed = 0 OR _removed < _words")
-    cut = F.col("_removed") > 0
-    changed = {"text": F.when(cut, F.col("_kept")).otherwise(F.col("text"))}
+    words, removed, kept = unused(docs.columns, "n_words", "n_removed", "kept")
+    found = substrings.deduplicate(docs, (words, removed, kept)).where((F.col(removed) == 0) | (F.col(removed) < F.col(words)))
+    cut = F.col(removed) > 0
+    changed = {"text": F.when(cut, F.col(kept)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(cut, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))
+        changed["n_chars"] = F.when(cut, F.length(kept).cast("long")).otherwise(F.col("n_chars"))
     return found.withColumns(changed).select(*docs.columns)
 
 
