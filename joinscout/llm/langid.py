@@ -110,6 +110,7 @@ class Model:
     langs: tuple[str, ...]
     weights: np.ndarray  # BUCKETS x languages, log-probabilities
     prior: np.ndarray
+    counts: tuple[int, ...] = ()  # labelled documents of each language
     fluency: np.ndarray | None = None  # languages x (mean, variance between documents, variance within), of a place's log-probability
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -155,11 +156,13 @@ class Model:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from the rows of `docs` (doc_id, text, lang) that have a lang, at most about `sample` for each."""
-    counts = _picked(docs, sample).mapInArrow(_counted, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(known) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages can't be learned")
+    sizes = {r["lang"]: r["count"] for r in known}
+    counts = _picked(docs, sizes, sample).mapInArrow(_counted, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counts.toArrow().to_pandas()  # at most (BUCKETS + 1) x languages rows
     langs = tuple(sorted(found.lang.unique()))
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; at most {MOST_LANGUAGES} can be learned")
     table = np.full((BUCKETS, len(langs)), 0.5)
     prior = np.zeros(len(langs))
     for k, lang in enumerate(langs):
@@ -170,13 +173,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     for order in range(ORDERS):
         part = table[order << LOG_BUCKETS : (order + 1) << LOG_BUCKETS]
         part /= part.sum(0)
-    return Model(langs, np.asfortranarray(np.log(table).astype(np.float32)), np.log(prior / prior.sum()) if len(langs) else prior)
+    return Model(langs, np.asfortranarray(np.log(table).astype(np.float32)), np.log(prior / prior.sum()) if len(langs) else prior, tuple(sizes[x] for x in langs))
 
 
-def _picked(docs: DataFrame, sample: int) -> DataFrame:
-    """(text, lang) of about `sample` labelled rows a language, the same on every run."""
+def _picked(docs: DataFrame, sizes: dict[str, int], sample: int) -> DataFrame:
+    """(text, lang) of about `sample` labelled rows a language, the same on every run; `sizes` are at most MOST_LANGUAGES."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    rates = labelled.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")).alias("rate"))
+    rates = F.broadcast(docs.sparkSession.createDataFrame([(k, min(1.0, sample / n)) for k, n in sizes.items()], "lang string, rate double"))
     chance = F.xxhash64(F.col("doc_id").cast("string"), "text").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
     return labelled.join(rates, "lang").where(chance < F.col("rate")).select("text", "lang")
 
@@ -196,13 +199,14 @@ def fit_fluency(docs: DataFrame, model: Model, sample: int = FLUENCY_SAMPLE) ->
                     sums[shared.value.langs.index(lang)] += (1, m, m * m, v)
         yield pa.RecordBatch.from_arrays([pa.array(shared.value.langs, pa.string()), *(pa.array(c) for c in sums.T)], names=["lang", *_SUMS])
 
-    found = _picked(docs, sample).mapInArrow(spread, "lang string, " + ", ".join(f"{c} double" for c in _SUMS)).groupBy("lang").agg(*(F.sum(c).alias(c) for c in _SUMS)).collect()
+    sizes = dict(zip(model.langs, model.counts, strict=True))
+    found = _picked(docs, sizes, sample).mapInArrow(spread, "lang string, " + ", ".join(f"{c} double" for c in _SUMS)).groupBy("lang").agg(*(F.sum(c).alias(c) for c in _SUMS)).collect()
     fluency = np.tile((0.0, np.inf, np.inf), (len(model.langs), 1))  # a language without such documents finds nothing odd
     for r in found:
         if r["n"]:
             mean, within = r["m"] / r["n"], r["v"] / r["n"]
             fluency[model.langs.index(r["lang"])] = mean, max(r["mm"] / r["n"] - mean * mean, 0.0), within + 1e-9
-    return Model(model.langs, model.weights, model.prior, fluency)
+    return Model(model.langs, model.weights, model.prior, model.counts, fluency)
 
 
 _SUMS = ("n", "m", "mm", "v")
