@@ -5,8 +5,8 @@
    reach the closest pairs only (similarity 0.8 means about ten bits apart, where parts of 64 bits no longer prune); two sets of
    similarity 0.8 share no band with a chance of (1 - 0.8**ROWS)**BANDS, 5e-8.
 2. Nodes of a bucket are linked to its smallest one, and components of all links hold all candidate pairs.
-3. Sets meet once by such component, cut into a grid of cells above CELL nodes, and are compared exactly there; a cell gives a
-   spanning forest of its links, never all pairs. Components follow from those.
+3. One text of each candidate set goes to its component, cut into a grid of cells above CELL nodes, and sets are compared exactly
+   there; a cell gives a spanning forest of its links, never all pairs. Components follow from those.
 
 Defined cases: null, empty and blank texts have one set, texts of fewer words than a shingle the whole sequence.
 """
@@ -57,23 +57,29 @@ def bands(own: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(named)], np.uint64).view(np.int64)
 
 
+def _rows(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, text_hash, *more, text) of each row; the first two tell texts apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), *more, text.alias("text"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, fp, bands, shingles) of each row; node names the set."""
+    """(doc_id, text_hash, node, fp, bands, again) of each id and text; node names the set of shingles, `again` tells of repeated rows."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            raw, nodes, fps, named = [], [], [], []
+            nodes, fps, named = [], [], []
             for text in texts:
                 own = shingles(text)
-                raw.append(own.tobytes())
-                nodes.append(xxhash.xxh64_intdigest(raw[-1], SEED))
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 fps.append(majority(own))
                 named.append(bands(own))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(named)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(fps, np.uint64).view(np.int64)), lists, pa.array(raw, pa.binary())], names=["doc_id", "text_hash", "node", "fp", "bands", "shingles"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(named)))
+            numbers = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *numbers, lists], names=["doc_id", "text_hash", "node", "fp", "bands"])
 
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text")).mapInArrow(sketched, "doc_id bigint, text_hash bigint, node bigint, fp bigint, bands array<bigint>, shingles binary")
+    found = _rows(docs).mapInArrow(sketched, "doc_id bigint, text_hash bigint, node bigint, fp bigint, bands array<bigint>")
+    return found.groupBy("doc_id", "text_hash", "node", "fp").agg(F.first("bands").alias("bands"), (F.count(F.lit(1)) > 1).alias("again"))
 
 
 def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -121,29 +127,37 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of alike sets of each cell; rows are (cell, node, text)."""
     for b in _groups(batches):
         cell, node = b.column(0).to_numpy(), b.column(1).to_numpy()
         edges = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]))
         for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if z - a > 1 and (found := forest([np.frombuffer(x, np.uint64) for x in b.column(2).slice(a, z - a).to_pylist()])):
+            if z - a > 1 and (found := forest([shingles(x) for x in b.column(2).slice(a, z - a).to_pylist()])):
                 at = a + np.array(found)
                 yield pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], names=["a", "b"])
 
 
-def links(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between the nodes of `rows` (of sketches) that span all pairs of LEAST similarity among the candidates."""
-    one = rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("fp").alias("fp"))
+def links(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between the nodes of `rows` (sketches of `docs`) that span all pairs of LEAST similarity among the candidates."""
+    one = rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("fp").alias("fp"), F.min(F.struct("doc_id", "text_hash", "again")).alias("x"))
+    one = scratch.keep(one.select("node", "bands", "fp", "x.doc_id", "x.text_hash", "x.again"))
     named = scratch.keep(one.groupBy("fp").agg(F.min("node").alias("rep")))
     print_links = simhash_links(named, scratch.spark).unionByName(one.join(named, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
     dealt = one.select(F.explode("bands").alias("band"), "node").repartition("band").sortWithinPartitions("band", "node")
     stars = dealt.mapInArrow(_stars, "a bigint, b bigint")
     near = scratch.keep(components(stars.unionByName(print_links), scratch))
     sized = near.join(near.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("chunks")), "component")
-    sets = rows.select("node", "shingles").join(sized, "node").dropDuplicates(["node"])
+    # only texts of candidates move, one for each set; the table of those is stored, so that its size is known to Spark
+    wanted = scratch.keep(sized.join(one, "node").select(_key("doc_id").alias("key"), "text_hash", "node", "component", "chunks", "again"))
+    scratch.drop(one, named, near)
+    scratch.free_shuffles()
+    texts = _rows(docs).select(_key("doc_id").alias("key"), "text_hash", "text").join(wanted, ["key", "text_hash"])
+    texts = texts.where("NOT again").unionByName(texts.where("again").dropDuplicates(["node"]))
     own = F.pmod(F.xxhash64("node"), F.col("chunks"))
-    cells = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    cells = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
     cell = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
-    return cells.select(cell.alias("cell"), "node", "shingles").repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare, "a bigint, b bigint")
+    placed = cells.select(cell.alias("cell"), "node", "text").repartition("cell").sortWithinPartitions("cell", "node")
+    return placed.mapInArrow(_compare, "a bigint, b bigint")
 
 
 def _key(doc_id: str) -> F.Column:
@@ -154,14 +168,18 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies, in whole: that of the smallest doc_id, null ones last."""
     scratch = Scratch(docs.sparkSession, "alike")
     rows = scratch.keep(sketches(docs))
-    linked = components(links(rows, scratch), scratch)
-    keys = rows.select("node", "doc_id", "text_hash").distinct()
-    grouped = keys.join(linked, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    least = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
-    key, text_hash, nth = unused(docs.columns, "key", "text_hash", "nth")
-    kept = scratch.keep(least.select(_key("x.doc_id").alias(key), F.col("x.text_hash").alias(text_hash)))
+    linked = components(links(rows, docs, scratch), scratch)
+    grouped = rows.select("node", "doc_id", "text_hash", "again").join(linked, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    least = grouped.groupBy("group").agg(F.min(place).alias("x"))
+    key, text_hash, nth, kept, again = unused(docs.columns, "key", "text_hash", "nth", "kept", "again")
+    judged = grouped.join(least, "group").select(_key("doc_id").alias(key), F.col("text_hash").alias(text_hash), (place == F.col("x")).alias(kept), F.col("again").alias(again))
+    # what goes, and what stays of rows that repeat id and text; both are stored, so that Spark knows their sizes
+    judged = scratch.keep(judged.where(~F.col(kept) | F.col(again)))
     scratch.drop(rows)
     scratch.free_shuffles()
     hashed = docs.withColumns({key: _key("doc_id"), text_hash: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    alone = hashed.join(judged, [key, text_hash], "left_anti")
+    repeated = hashed.join(judged.where(F.col(kept)).select(key, text_hash), [key, text_hash], "left_semi")
     first = Window.partitionBy(key, text_hash).orderBy("text")
-    return hashed.join(kept, [key, text_hash], "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*docs.columns)
+    return alone.select(*docs.columns).unionByName(repeated.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*docs.columns))
