@@ -15,6 +15,10 @@ windows with one anchor form a run of at most WINDOW - 4 windows.
 A level without candidates ends the search. Windows are identified by two 64-bit hashes (the anchor's and the
 window's). The words to remove are carried as ranges by document and applied to its text in one join.
 
+How much each step removes depends on the texts: whole copied passages go in step 2 by runs, which are windows of 20 words grouped by
+their level-5 anchor and compared as a whole (length 20 at once, for a run that has survived level 5); their ends, and passages that
+begin or end differently, go through levels 10 and 20.
+
 Defined cases: a null text has no words. Rows with equal doc_id and text are one document and get equal results; rows with
 equal doc_id and unequal texts are told apart by a hash of the text, whose order decides between them. A null doc_id counts as
 the smallest. Texts under WINDOW words lose nothing. Other columns stay unchanged in `deduplicate`.
@@ -39,6 +43,7 @@ ANCHOR = 5
 PLACES = WINDOW - ANCHOR + 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NULL_ID = -(1 << 63)
+_HALF = np.uint64(32)
 
 
 class _Hashes(dict):
@@ -110,10 +115,12 @@ def _pack(start: np.ndarray, windows: np.ndarray, offset: np.ndarray) -> np.ndar
     return (start.astype(np.int64) << 10) | (windows.astype(np.int64) << 5) | offset.astype(np.int64)
 
 
-DEALT = "key bigint, kind tinyint, anchor bigint, run bigint, after bigint, around bigint, doc bigint, text_hash bigint, pack bigint"
-#: Kinds of dealt rows.
+#: `key` is an anchor or a run's hash and `other` the other of them; `near` holds 32 bits each of the hashes of the 10 words from the anchor
+#: on and of those from 5 before it.
+DEALT = "key bigint, kind tinyint, other bigint, near bigint, doc bigint, text_hash bigint, pack bigint"
+#: Kinds of dealt rows: keyed by anchor, keyed by run, anchors found twice in a slice, ranges that are repeated.
 ONCE, OFTEN, VOTE, GONE = 0, 1, 2, 3
-_DEALT = ("key", "kind", "anchor", "run", "after", "around", "doc", "text_hash", "pack")
+_DEALT = ("key", "kind", "other", "near", "doc", "text_hash", "pack")
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +161,8 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = {
             "key": np.concatenate((np.where(often, run[lead], key5), vote, ids[g_doc].view(np.uint64))).view(np.int64),
             "kind": np.concatenate((np.where(often, OFTEN, ONCE), np.full(v, VOTE), np.full(g, GONE))).astype(np.int8),
-            "anchor": np.concatenate((key5, np.zeros(v + g, np.uint64))).view(np.int64),
-            "run": np.concatenate((run[lead], np.zeros(v + g, np.uint64))).view(np.int64),
-            "after": np.concatenate((ten[a], np.zeros(v + g, np.uint64))).view(np.int64),
-            "around": np.concatenate((ten[back], np.zeros(v + g, np.uint64))).view(np.int64),
+            "other": np.concatenate((np.where(often, key5, run[lead]), np.zeros(v + g, np.uint64))).view(np.int64),
+            "near": np.concatenate((((ten[a] >> _HALF) << _HALF) | (ten[back] >> _HALF), np.zeros(v + g, np.uint64))).view(np.int64),
             "doc": np.concatenate((ids[doc[lead]], np.zeros(v, np.int64), ids[g_doc])),
             "text_hash": np.concatenate((text_hash[doc[lead]], np.zeros(v, np.int64), text_hash[g_doc])),
             "pack": np.concatenate((_pack(start[lead], windows[lead], offset[lead]), np.zeros(v, np.int64), (g_start << 31) | g_end)),
@@ -188,11 +193,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc, text_hash, start, end): ranges of words, of which all are covered by windows found earlier; they may overlap."""
+    """(doc, text_hash, ranges): ranges (start, end) of words, of which all are covered by windows found earlier; they may overlap."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     dealt = base.mapInArrow(_dealt, DEALT).repartition("key")
     met = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    level5 = scratch.keep(met.where(f"kind IN ({OFTEN}, {GONE}) OR kind = {ONCE} AND n > 1").drop("key", "n"))
+    once = F.col("kind") == ONCE
+    names = [F.when(once, F.col("key")).otherwise(F.col("other")).alias("anchor"), F.when(once, F.col("other")).otherwise(F.col("key")).alias("run")]
+    level5 = scratch.keep(met.where(f"kind IN ({OFTEN}, {GONE}) OR kind = {ONCE} AND n > 1").select("kind", *names, "near", "doc", "text_hash", "pack"))
     scratch.free_shuffles()
 
     start, windows, offset = F.shiftright("pack", 10), F.shiftright("pack", 5).bitwiseAND(31), F.col("pack").bitwiseAND(31)
@@ -204,14 +211,16 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     half = 2 * ANCHOR
     sides = F.array_compact(F.array(
-        F.when(offset - windows + 1 <= half, F.struct(F.lit(0).alias("side"), F.col("after").alias("ten"))),
-        F.when(offset > half, F.struct(F.lit(1).alias("side"), F.col("around").alias("ten"))),
+        F.when(offset - windows + 1 <= half, F.struct(F.lit(0).alias("side"), F.shiftrightunsigned("near", 32).alias("ten"))),
+        F.when(offset > half, F.struct(F.lit(1).alias("side"), F.col("near").bitwiseAND((1 << 32) - 1).alias("ten"))),
     ))
-    level10 = runs.select("doc", "text_hash", "pack", F.explode(sides).alias("s")).select("doc", "text_hash", "pack", "s.*")
-    often = level10.groupBy("side", "ten").count().where("count > 1").select("side", "ten")
-    candidates = scratch.keep(level10.join(often, ["side", "ten"]).select("doc", "text_hash", "pack", "side"))
+    level10 = runs.select("doc", "text_hash", "pack", "anchor", F.explode(sides).alias("s")).select("doc", "text_hash", "pack", "anchor", "s.*")
+    often = level10.groupBy("anchor", "side", "ten").count().where("count > 1").drop("count")
+    candidates = scratch.keep(level10.join(often, ["anchor", "side", "ten"]).select("doc", "text_hash", "pack", "side"))
+    scratch.free_shuffles()
     if not candidates.isEmpty():
-        by_doc = candidates.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("pack", "side")).alias("runs")).withColumnRenamed("text_hash", "own_hash")
+        # stored, so that its size is known to Spark: texts move only if there are many
+        by_doc = scratch.keep(candidates.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("pack", "side")).alias("runs")).withColumnRenamed("text_hash", "own_hash"))
         texts = base.join(by_doc, (F.coalesce("doc_id", F.lit(_NULL_ID)) == by_doc.doc) & (base.text_hash == by_doc.own_hash)).select("doc_id", "text_hash", "text", "runs")
         found = scratch.keep(texts.mapInArrow(_windows, "anchor bigint, whole bigint, doc bigint, text_hash bigint, start bigint"))
         scratch.free_shuffles()
@@ -221,7 +230,10 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     out = gone[0]
     for g in gone[1:]:
         out = out.unionByName(g)
-    return out
+    ranges = scratch.keep(out.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("ranges")))
+    scratch.drop(*(frame for frame, _ in scratch.kept if frame is not ranges))
+    scratch.free_shuffles()
+    return ranges
 
 
 def _applied(added: tuple[str, str, str], held: str):
@@ -261,7 +273,7 @@ def deduplicate(docs: DataFrame, added: tuple[str, str, str] = ("n_words", "n_re
     scratch = Scratch(docs.sparkSession, "substrings")
     ranges = repeated_ranges(source.select("doc_id", F.col("text").cast("string").alias("text")), scratch)
     doc, text_hash, held = unused(source.columns, "doc", "text_hash", "ranges")
-    by_doc = ranges.groupBy(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash)).agg(F.collect_list(F.struct("start", "end")).alias(held))
+    by_doc = ranges.select(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash), F.col("ranges").alias(held))
     keyed = source.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), text_hash: F.xxhash64(F.col("text").cast("string"))})
     joined = keyed.join(by_doc, [doc, text_hash], "left").drop(doc, text_hash)
     schema = T.StructType([*source.schema.fields, *(T.StructField(n, k) for n, k in zip(added, (T.LongType(), T.LongType(), T.StringType()), strict=True))])
