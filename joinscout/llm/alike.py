@@ -147,11 +147,11 @@ def links(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     stars = dealt.mapInArrow(_stars, "a bigint, b bigint")
     near = scratch.keep(components(stars.unionByName(print_links), scratch))
     sized = near.join(near.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("chunks")), "component")
-    # only texts of candidates move, one for each set; the table of those is stored, so that its size is known to Spark
+    # texts move once, by a merge join at every size; on from there those of candidates alone, one for each set
     wanted = scratch.keep(sized.join(one, "node").select(_key("doc_id").alias("key"), "text_hash", "node", "component", "chunks", "again"))
     scratch.drop(one, named, near)
     scratch.free_shuffles()
-    texts = _rows(docs).select(_key("doc_id").alias("key"), "text_hash", "text").join(wanted, ["key", "text_hash"])
+    texts = _rows(docs).select(_key("doc_id").alias("key"), "text_hash", "text").join(wanted.hint("merge"), ["key", "text_hash"])
     texts = texts.where("NOT again").unionByName(texts.where("again").dropDuplicates(["node"]))
     own = F.pmod(F.xxhash64("node"), F.col("chunks"))
     cells = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
@@ -172,14 +172,18 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     grouped = rows.select("node", "doc_id", "text_hash", "again").join(linked, "node", "left").withColumn("group", F.coalesce("component", "node"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     least = grouped.groupBy("group").agg(F.min(place).alias("x"))
-    key, text_hash, nth, kept, again = unused(docs.columns, "key", "text_hash", "nth", "kept", "again")
+    key, text_hash, nth, kept, again, part = unused(docs.columns, "key", "text_hash", "nth", "kept", "again", "part")
     judged = grouped.join(least, "group").select(_key("doc_id").alias(key), F.col("text_hash").alias(text_hash), (place == F.col("x")).alias(kept), F.col("again").alias(again))
-    # what goes, and what stays of rows that repeat id and text; both are stored, so that Spark knows their sizes
+    # what goes, and what stays of rows that repeat id and text
     judged = scratch.keep(judged.where(~F.col(kept) | F.col(again)))
     scratch.drop(rows)
     scratch.free_shuffles()
     hashed = docs.withColumns({key: _key("doc_id"), text_hash: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    alone = hashed.join(judged, [key, text_hash], "left_anti")
-    repeated = hashed.join(judged.where(F.col(kept)).select(key, text_hash), [key, text_hash], "left_semi")
-    first = Window.partitionBy(key, text_hash).orderBy("text")
-    return alone.select(*docs.columns).unionByName(repeated.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*docs.columns))
+    # both branches read one exchange of the texts; rows that repeat are cut down in parts, so that none is too large for a task
+    joined = hashed.join(judged.hint("merge"), [key, text_hash], "left")
+    alone = joined.where(F.col(kept).isNull())
+    repeated = joined.where(F.col(kept) & F.col(again)).withColumn(part, F.spark_partition_id())
+    for by in ((key, text_hash, part), (key, text_hash)):
+        first = Window.partitionBy(*by).orderBy("text")
+        repeated = repeated.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1)
+    return alone.select(*docs.columns).unionByName(repeated.select(*docs.columns))

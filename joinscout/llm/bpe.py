@@ -2,10 +2,10 @@
 
 A text is cut by the pre-tokenizer's pattern; each distinct piece is encoded once. Pieces are bucketed by length and laid
 in padded matrices of byte ids. In each round every row merges its leftmost pair of least rank at once: ranks come from
-a hashed table of pairs, merged places are closed up, and finished rows leave the matrix. Pieces above LONG bytes, too wide for a
-matrix, are merged in the same order with a heap, so that time stays near linear in their length.
+a hashed table of pairs, merged places are closed up, and finished rows leave the matrix. Pieces above LONG bytes share no matrix:
+each is a row by itself, in which all places of the least rank merge in one round, so that rounds are bounded by the ranks in use.
 
-Decoding joins the bytes of ids by one gather over all ids of a batch.
+Decoding joins the bytes of ids by one gather over at most DECODED ids at a time, plus one row.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes. Repeated rows get equal results. Ids that the
 vocabulary lacks raise an error. Other columns stay; `ids` and `decoded` replace clashing ones.
@@ -14,7 +14,6 @@ vocabulary lacks raise an error. Other columns stay; `ids` and `decoded` replace
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from functools import cache
 
@@ -35,6 +34,7 @@ CELLS = 1 << 20
 REMEMBERED = 1 << 18
 #: Bytes of text encoded at once; a piece takes about 100 bytes as an object.
 AT_ONCE = 2 << 20
+DECODED = 1 << 20
 NONE = np.int32(np.iinfo(np.int32).max)
 
 
@@ -97,8 +97,8 @@ class Vocabulary:
                     right.append(b)
                     merged.append(i)
         self.pairs = Pairs(np.array(left, np.int64), np.array(right, np.int64), np.array(merged, np.int32))
-        self.by_pair = None
-        self.raw_pairs = (left, right, merged)
+        #: Whether no merge makes a pair of lower rank than its own.
+        self.rising = all(m > a and m > b for a, b, m in zip(left, right, merged, strict=True))
         by_id = dict(map(reversed, self.ids.items()))
         self.sizes = np.array([len(by_id.get(i, b"")) for i in range(top)], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -144,31 +144,44 @@ class Vocabulary:
         flat = out[out >= 0].astype("<i4")
         return np.split(flat, np.cumsum(lengths)[:-1])
 
-    def _heap(self, piece: bytes) -> np.ndarray:
-        """The same merges for a long piece, over a linked list and a heap of (rank, place)."""
-        if self.by_pair is None:
-            left, right, merged = self.raw_pairs
-            self.by_pair = dict(zip(zip(left, right, strict=True), merged, strict=True))
-        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        find = self.by_pair.get
-        heap = [(m, i) for i in range(n - 1) if (m := find((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            m, i = heapq.heappop(heap)
-            j = after[i] if ids[i] >= 0 else n
-            if j >= n or find((ids[i], ids[j])) != m:
-                continue
-            ids[i], ids[j] = m, -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (x := find((m, ids[k]))) is not None:
-                    heapq.heappush(heap, (x, i))
-            if (p := before[i]) >= 0 and (x := find((ids[p], m))) is not None:
-                heapq.heappush(heap, (x, p))
-        return np.array([x for x in ids if x >= 0], "<i4")
+    def _row(self, piece: bytes) -> np.ndarray:
+        """The same merges for one piece of any length, as a matrix of one row: all places of the least rank merge in one round, leftmost first.
+
+        That gives what one merge a round gives, as a merge changes only the pairs beside it: places share a token only in runs,
+        of which every other one merges, and a round ends at the first merge that makes a pair of lower rank. Merged places are
+        skipped by links and closed up when half of the row is gone.
+        """
+        ids = self.single[np.frombuffer(piece, np.uint8)]
+        while True:
+            n = len(ids)
+            ids = np.append(ids, np.int32(-1))  # padding, so that each place has a next one
+            after, before = np.arange(1, n + 2), np.arange(-1, n)
+            ranks = np.append(self.pairs.find(ids[:-1], ids[1:]), NONE)
+            left = n
+            while 2 * left >= n:
+                least = ranks.min()
+                if least == NONE:
+                    return ids[ids >= 0].astype("<i4")
+                at = np.flatnonzero(ranks == least)
+                joined = np.concatenate(([False], after[at[:-1]] == at[1:]))
+                place = np.arange(len(at))
+                at = at[(place - np.maximum.accumulate(np.where(joined, 0, place))) % 2 == 0]
+                right = after[at]
+                rest = after[right]
+                if not self.rising:
+                    lower = self.pairs.find(np.full(len(at), least), ids[rest]) < least
+                    old = np.where(np.concatenate(([False], rest[:-1] == at[1:])), least, ids[before[at]] * (before[at] >= 0) - (before[at] < 0))
+                    lower |= self.pairs.find(old.astype(np.int32), np.full(len(at), least)) < least
+                    upto = int(lower.argmax()) + 1 if lower.any() else len(at)
+                    at, right, rest = at[:upto], right[:upto], rest[:upto]
+                ids[at], ids[right] = least, -1
+                ranks[right] = NONE
+                after[at], before[rest] = rest, at
+                ranks[at] = self.pairs.find(np.full(len(at), least), ids[rest])
+                inner = at[before[at] >= 0]
+                ranks[before[inner]] = self.pairs.find(ids[before[inner]], ids[inner])
+                left -= len(at)
+            ids = ids[ids >= 0]
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes pieces into `known`, as little-endian int32."""
@@ -178,7 +191,7 @@ class Vocabulary:
             if (i := self.ids.get(raw)) is not None:
                 self.known[p] = i.to_bytes(4, "little")
             elif len(raw) > LONG:
-                self.known[p] = self._heap(raw).tobytes()
+                self.known[p] = self._row(raw).tobytes()
             else:
                 buckets.setdefault(next(b for b in BUCKETS if b >= len(raw)), []).append(p)
         for width, own in buckets.items():
@@ -241,12 +254,16 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
+            upto = np.cumsum(b.column(b.schema.get_field_index("ids")).value_lengths().fill_null(0).to_numpy())
+            i = 0
+            while i < b.num_rows:
+                size = max(1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + DECODED, "right")) - i)
+                part = b.slice(i, size)
                 column = part.column(part.schema.get_field_index("ids"))
                 ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy())
                 raw, at = vocabulary(path).decode(column.flatten().to_numpy(), ends)
                 out = pa.Array.from_buffers(pa.binary(), len(ends), [None, _offsets(at).buffers()[1], pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*part.schema.names, "decoded"])
+                i += size
 
     return _with(encoded, "decoded", T.BinaryType(), decoded)

@@ -219,8 +219,7 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     candidates = scratch.keep(level10.join(often, ["anchor", "side", "ten"]).select("doc", "text_hash", "pack", "side"))
     scratch.free_shuffles()
     if not candidates.isEmpty():
-        # stored, so that its size is known to Spark: texts move only if there are many
-        by_doc = scratch.keep(candidates.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("pack", "side")).alias("runs")).withColumnRenamed("text_hash", "own_hash"))
+        by_doc = candidates.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("pack", "side")).alias("runs")).withColumnRenamed("text_hash", "own_hash").hint("merge")
         texts = base.join(by_doc, (F.coalesce("doc_id", F.lit(_NULL_ID)) == by_doc.doc) & (base.text_hash == by_doc.own_hash)).select("doc_id", "text_hash", "text", "runs")
         found = scratch.keep(texts.mapInArrow(_windows, "anchor bigint, whole bigint, doc bigint, text_hash bigint, start bigint"))
         scratch.free_shuffles()
@@ -275,6 +274,6 @@ def deduplicate(docs: DataFrame, added: tuple[str, str, str] = ("n_words", "n_re
     doc, text_hash, held = unused(source.columns, "doc", "text_hash", "ranges")
     by_doc = ranges.select(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash), F.col("ranges").alias(held))
     keyed = source.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), text_hash: F.xxhash64(F.col("text").cast("string"))})
-    joined = keyed.join(by_doc, [doc, text_hash], "left").drop(doc, text_hash)
+    joined = keyed.join(by_doc.hint("merge"), [doc, text_hash], "left").drop(doc, text_hash)
     schema = T.StructType([*source.schema.fields, *(T.StructField(n, k) for n, k in zip(added, (T.LongType(), T.LongType(), T.StringType()), strict=True))])
     return joined.mapInArrow(_applied(added, held), schema)

@@ -240,6 +240,38 @@ def test_bpe(docs, texts):
     assert bpe.decode(bpe.encode(docs.limit(0))).count() == 0
 
 
+def test_bpe_of_long_pieces(monkeypatch):
+    v = bpe.vocabulary(public_tokenizers.path(bpe.VOCABULARY))
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=v.ids, special_tokens={})
+    rng = random.Random(14)
+    pieces = ["a" * 100000, "ab" * 40000, "!" * 30001, *("".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "etaoin", "abcdefghijklmnopqrstuvwxyz", "éüß日本") for n in (257, 3000, 20000))]
+    for rising in (v.rising, False):  # both ways of finding what a round may merge
+        monkeypatch.setattr(v, "rising", rising)
+        for p in pieces:
+            assert v._row(p.encode()).tolist() == library.encode_ordinary(p), p[:20]
+
+
+def test_bpe_rows_merge_like_one_pair_a_round(monkeypatch):
+    rng = random.Random(15)
+    v = bpe.Vocabulary(public_tokenizers.path(bpe.VOCABULARY))
+    for _ in range(60):  # vocabularies in which merges do make pairs of lower rank
+        tokens = sorted({bytes(rng.choices(b"abc", k=rng.randrange(2, 6))) for _ in range(25)}, key=lambda t: rng.random())
+        ids = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate(tokens)}
+        pairs = {(ids[t[:k]], ids[t[k:]]): ids[t] for t in tokens for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids}
+        if not pairs:
+            continue
+        left, right = zip(*pairs, strict=True)
+        monkeypatch.setattr(v, "single", np.arange(256, dtype=np.int32))
+        monkeypatch.setattr(v, "pairs", bpe.Pairs(np.array(left), np.array(right), np.array(list(pairs.values()), np.int32)))
+        monkeypatch.setattr(v, "rising", all(m > a and m > b for (a, b), m in pairs.items()))
+        text = bytes(rng.choices(b"abc", k=200))
+        plain = list(text)
+        while found := [(pairs[x], i) for i, x in enumerate(zip(plain, plain[1:], strict=False)) if x in pairs]:
+            m, i = min(found)
+            plain[i : i + 2] = [m]
+        assert v._row(text).tolist() == plain
+
+
 def test_language_id(spark):
     rng = random.Random(6)
     alphabets = {"aa": "abcdefgh", "bb": "ghijklmn", "cc": "äöüßmnop"}
