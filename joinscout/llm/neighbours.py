@@ -12,17 +12,20 @@ changes at most CHANGE of the lists' entries.
 Search: a query node begins with its own list. Each round it expands its nearest unexpanded nodes by a join with the
 graph, fetches the vectors of nodes not seen before by another join, and measures them in double precision on the
 original vectors, until its `beam` nearest are all expanded. Then the recall of PROBES query nodes is measured against brute
-force, and while it is under `recall`, the beam is doubled and the search goes on from where it stands; so the beam grows with
+force, and while it is under `recall`, the beam grows by half and the search goes on from where it stands; so the beam grows with
 the table as far as the vectors need it. Every row is indexed; nothing is fitted on a sample.
 
-Defined cases: vectors that are null, empty, all zero or hold a null or non-finite component take no part, neither do those whose
-length differs from the most frequent one (the larger on a tie). Repeated rows of one id and vector are one row; a null id takes no part. Equal distances
-go by id. A query without other rows has no result. Other columns are dropped.
+As queries are nodes, a graph with good lists needs a narrow beam only: what a query measures follows from the beam, not from the table.
+
+Defined cases: vectors that are null, empty, all zero or hold a null or non-finite component take no part. Vectors of unequal length have
+no distance, so each length is searched by itself; more than MOST_LENGTHS of them raise an error. Repeated rows of one id and vector are
+one row; a null id takes no part. Equal distances go by id. A query without other rows has no result. Other columns are dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -32,29 +35,26 @@ from pyspark.sql import functions as F
 
 from joinscout.llm.common import Scratch
 
-DEGREE, SAMPLE, REVERSE, GIVEN = 24, 16, 16, 8
+DEGREE, SAMPLE, REVERSE, GIVEN = 64, 32, 32, 16
 TREES, LEAF = 4, 256
 #: Share of the lists' entries that the last round of descent may still change.
-CHANGE = 0.01
+CHANGE = 0.02
 #: Beam to begin with, and links back of a node that a search follows.
-BEAM, LINKS_BACK = 400, 40
+BEAM, LINKS_BACK = 48, 24
 #: Least recall, and the query nodes on which it is measured.
-RECALL, PROBES = 0.95, 100
+RECALL, PROBES = 0.96, 100
+MOST_LENGTHS = 64
 SEED = 20240
 NEIGHBOURS = "id bigint, ids array<bigint>, gaps array<float>"
 
 
 def clean(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """(vec_id, vec as little-endian doubles' or floats' bytes) of the rows that take part."""
+    """(vec_id, v) of the rows that take part, floats or doubles without a negative zero."""
     v = F.col(vector_column)
     kind = dict(vectors.dtypes)[vector_column]
     v = v if kind in ("array<float>", "array<double>") else v.cast("array<double>")
     sound = v.isNotNull() & F.col(id_column).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(sound).select(F.col(id_column).cast("long").alias("vec_id"), F.transform(v, lambda x: x + F.lit(0).cast("float" if kind == "array<float>" else "double")).alias("v"))
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    if common is None:
-        return rows
-    return rows.where(F.size("v") == common["n"])
+    return vectors.where(sound).select(F.col(id_column).cast("long").alias("vec_id"), F.transform(v, lambda x: x + F.lit(0).cast("float" if kind == "array<float>" else "double")).alias("v"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,13 +312,13 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dtype: str, s
     empty = F.lit(b"")
     state = scratch.keep(queries.select("id", "vec", empty.alias("ids"), empty.alias("gaps"), empty.alias("fresh"), F.array("id").alias("new"), F.array("vec").alias("vectors")).mapInArrow(_measure(dtype), STATE))
     while True:
-        stepped = scratch.keep(state.mapInArrow(_step(beam, max(1, beam // 4)), STATE + ", front array<bigint>, seen array<bigint>"))
+        stepped = scratch.keep(state.mapInArrow(_step(beam, max(1, beam // 3)), STATE + ", front array<bigint>, seen array<bigint>"))
         if stepped.where(F.size("front") > 0).isEmpty():
             scratch.drop(stepped)
             # A pool of which nothing is fresh has seen all nodes that links lead to.
             if _recall(state, reach, k) >= recall or state.where(F.hex("fresh").contains("01")).isEmpty():
                 return state.select("id", "ids", "gaps")
-            beam *= 2
+            beam += max(1, beam // 2)
             continue
         scratch.drop(state)
         front = stepped.select(F.col("id").alias("query"), F.explode("front").alias("id")).join(around, "id")
@@ -334,7 +334,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dtype: str, s
 def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", beam: int = BEAM, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row its k nearest other rows found, by Euclidean distance.
 
-    The search begins with `beam`, which is doubled until `recall` is measured.
+    The search begins with `beam`, which grows by half until `recall` is measured.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
@@ -349,6 +349,15 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_column: str
 
     asks = is_query if is_query is not None else F.lit(False)
     flat = scratch.keep(rows.withColumn("asks", asks).mapInArrow(packed, "vec_id bigint, vec binary, asks boolean"))
+    lengths = [r[0] for r in flat.select(F.length("vec")).distinct().limit(MOST_LENGTHS + 1).collect()]
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    found = [_nearest_of_length(flat.where(F.length("vec") == n), dtype, scratch, k, beam, recall) for n in sorted(lengths)]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+
+
+def _nearest_of_length(flat: DataFrame, dtype: str, scratch: Scratch, k: int, beam: int, recall: float) -> DataFrame:
+    """`nearest` over rows (vec_id, vec, asks) whose vectors have one length."""
     # First ids of each vector: k + 1 in parts, then of those, so that no vector's rows all meet in a task.
     part = Window.partitionBy("vec", "part").orderBy("vec_id")
     parts = flat.select("vec", "vec_id").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("nth", F.dense_rank().over(part)).where(F.col("nth") <= k + 1).select("vec", "vec_id").distinct()

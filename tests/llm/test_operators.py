@@ -592,6 +592,21 @@ def test_neighbours(spark):
     assert neighbours.nearest(table.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_of_each_length_by_itself(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    sizes = [3, 5, 5, 8]
+    rows = [(i, rng.normal(size=sizes[i % 4]).tolist()) for i in range(160)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = neighbours.nearest(table, F.col("vec_id") % 10 == 0, k=4).toPandas()
+    for q in range(0, 160, 10):
+        own = {i: float(np.sqrt(((np.array(v) - np.array(rows[q][1])) ** 2).sum())) for i, v in rows if i != q and len(v) == len(rows[q][1])}
+        want = sorted(own, key=lambda i: (own[i], i))[:4]
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == want
+    monkeypatch.setattr(neighbours, "MOST_LENGTHS", 2)
+    with pytest.raises(ValueError, match="lengths"):
+        neighbours.nearest(table, F.col("vec_id") % 10 == 0)
+
+
 def test_neighbours_search_until_the_recall_is_reached(spark):
     base = np.random.default_rng(8).normal(size=(3000, 48)).astype(np.float32)
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<float>").repartition(4)
