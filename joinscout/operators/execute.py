@@ -45,33 +45,58 @@ def project(lake: Lake, order: list[dict]) -> dict[str, DataFrame]:
     return out
 
 
-def cardinality(tables: dict[str, DataFrame], order: list[dict]) -> DataFrame:
-    """(cardinality) of a chain of joins, by carrying counts of join values along it: no join result is ever made.
+def numbered(order: list[dict], self_join: bool = False) -> list[tuple[str, str, dict]]:
+    """(parent, child, hop) of the hops that a join runs, as perform_joins does: a child seen before is left out, or numbered with `self_join`."""
+    seen = {order[0]["parent"]: 1}
+    out = []
+    for hop in order:
+        child = hop["child"]
+        if child in seen and not self_join:
+            continue
+        seen[child] = seen.get(child, 0) + 1
+        out.append((hop["parent"], child if seen[child] == 1 else f"{child}__{seen[child]}", hop))
+    return out
+
+
+def cardinality(tables: dict[str, DataFrame], order: list[dict], self_join: bool = False) -> DataFrame:
+    """(cardinality) of the joins that perform_joins runs for an order, without running them.
 
-    Counts are decimals of 38 digits, as products of counts outgrow a long.
+    Hops make a tree. From its leaves to its root, each table's rows are counted by the keys in use, and weights of what hangs on them
+    are joined by key: no join result is ever made. Counts are decimals of 38 digits, as products of counts outgrow a long.
     """
-    first = order[0]
-    name = key_name(first["parent"], first["parent_column"], first["join_type"])
-    weights = tables[first["parent"]].groupBy(F.col(f"`{name}`").alias("key")).agg(F.count(F.lit(1)).cast(BIG).alias("w"))
-    for now, after in zip(order, order[1:], strict=False):
-        t = now["child"]
-        kin, kout = key_name(t, now["child_column"], now["join_type"]), key_name(t, after["parent_column"], after["join_type"])
-        counts = tables[t].groupBy(F.col(f"`{kin}`").alias("key"), F.col(f"`{kout}`").alias("next")).agg(F.count(F.lit(1)).alias("n"))
-        weights = counts.join(weights, "key").groupBy("next").agg(F.sum(F.col("w") * F.col("n")).cast(BIG).alias("w")).withColumnRenamed("next", "key")
-    last = order[-1]
-    name = key_name(last["child"], last["child_column"], last["join_type"])
-    ends = tables[last["child"]].groupBy(F.col(f"`{name}`").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    return ends.join(weights, "key").agg(F.coalesce(F.sum(F.col("w") * F.col("n")), F.lit(0)).cast(BIG).alias("cardinality"))
+    below: dict[str, list[tuple[str, dict]]] = {}
+    for parent, child, hop in numbered(order, self_join):
+        below.setdefault(parent, []).append((child, hop))
+
+    def weighed(node: str, table: str, key: str | None) -> DataFrame:
+        """(key, w): how many rows the tree under a node gives for each key of it; (w) of the whole for the root."""
+        used = [(child, hop, key_name(table, hop["parent_column"], hop["join_type"])) for child, hop in below.get(node, [])]
+        names = list(dict.fromkeys([*([key] if key else []), *(n for _, _, n in used)]))
+        out = tables[table].groupBy(*(F.col(f"`{n}`").alias(f"k{i}") for i, n in enumerate(names))).agg(F.count(F.lit(1)).cast(BIG).alias("w"))
+        for child, hop, name in used:
+            on = f"k{names.index(name)}"
+            under = weighed(child, hop["child"], key_name(hop["child"], hop["child_column"], hop["join_type"])).select(F.col("key").alias(on), F.col("w").alias("w2"))
+            out = out.join(under, on).withColumn("w", (F.col("w") * F.col("w2")).cast(BIG)).drop("w2")
+        total = F.sum("w").cast(BIG).alias("w")
+        return out.groupBy(F.col("k0").alias("key")).agg(total) if key else out.agg(total)
+
+    root = order[0]["parent"]
+    return weighed(root, root, None).select(F.coalesce("w", F.lit(0)).cast(BIG).alias("cardinality"))
 
 
 def path_cardinalities(lake: Lake, orders: list[dict], keep: Keep | None = None) -> DataFrame:
     """(path, cardinality) of many paths at once: {path, join_order} each. Prefixes that paths share are carried once.
 
     A relation (prefix, key, weight) is extended by one hop a round for all paths together. Counts and rounds are stored by
-    `keep`, if given, so that each is made once.
+    `keep`, if given, so that each is made once. A table that an order comes back to is skipped, and such orders are counted one by one.
     """
     keep = keep or (lambda frame, name: frame)
     spark = lake.spark
+    again = [o["join_order"] for o in orders if len({o["join_order"][0]["parent"], *(h["child"] for h in o["join_order"])}) <= len(o["join_order"])]
+    if again:
+        rest = [o for o in orders if o["join_order"] not in again]
+        single = [cardinality(project(lake, order), order).select(F.lit(">".join([order[0]["parent"], *(h["child"] for h in order)])).alias("path"), "cardinality") for order in again]
+        return reduce(DataFrame.unionByName, [*([path_cardinalities(lake, rest, keep)] if rest else []), *single])
     uses: dict[tuple, None] = {}
     starts, steps, ends = {}, {}, []
     for o in orders:
@@ -140,9 +165,9 @@ def perform_joins(tables: dict[str, DataFrame], order: list[dict], sample: int |
 
 
 def down_sample(frame: DataFrame, n: int, seed: int) -> DataFrame:
-    """The n rows of least seeded hash of their row ids; a top-k, not a full sort."""
+    """The n rows of least seeded md5 of their row ids; a top-k, not a full sort."""
     ids = sorted(c for c in frame.columns if c.startswith("Index_"))
-    return frame.withColumn("__key", F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in ids))).orderBy("__key", *(f"`{c}`" for c in ids)).limit(n).drop("__key")
+    return frame.withColumn("__key", F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *(F.col(f"`{c}`").cast("string") for c in ids)).cast("binary"))).orderBy("__key", *(f"`{c}`" for c in ids)).limit(n).drop("__key")
 
 
 def semi_reduce(table: DataFrame, rids: DataFrame, name: str) -> DataFrame:

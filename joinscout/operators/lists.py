@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from joinscout.functions import portable
+
 
 def ranked_combinations(lists: list[DataFrame]) -> DataFrame:
     """All choices of one item of each list (item, r), ordered by the sum of ranks, then by the ranks in turn.
@@ -22,19 +23,21 @@ def ranked_combinations(lists: list[DataFrame]) -> DataFrame:
 
 
 def lazy_combinations(sizes: Sequence[int]) -> Iterator[tuple[int, ...]]:
-    """Index tuples in the same order, made one by one: a heap over the frontier."""
+    """Index tuples in the same order, made one by one: each rank sum is split over the lists in every way that fits, smaller first ranks first."""
     if not sizes or min(sizes) == 0:
         return
-    start = (0,) * len(sizes)
-    heap, seen = [(0, start)], {start}
-    while heap:
-        total, at = heapq.heappop(heap)
-        yield at
-        for i, n in enumerate(sizes):
-            after = (*at[:i], at[i] + 1, *at[i + 1 :])
-            if after[i] < n and after not in seen:
-                seen.add(after)
-                heapq.heappush(heap, (total + 1, after))
+    room = [sum(n - 1 for n in sizes[i:]) for i in range(len(sizes) + 1)]
+
+    def splits(total: int, i: int) -> Iterator[tuple[int, ...]]:
+        if i == len(sizes):
+            yield ()
+        else:
+            for r in range(max(0, total - room[i + 1]), min(total, sizes[i] - 1) + 1):
+                for rest in splits(total - r, i + 1):
+                    yield (r, *rest)
+
+    for total in range(room[0] + 1):
+        yield from splits(total, 0)
 
 
 def between_marks(items: Column, marks: Column) -> Column:
@@ -60,8 +63,8 @@ def top_of_map(m: Column, k: int) -> Column:
 
 
 def sampled(frame: DataFrame, key: str, count: int | None = None, fraction: float | None = None, seed: int = 0) -> DataFrame:
-    """A seeded sample by hash of `key`, the same on every run: so many rows, or about such a share."""
-    h = F.xxhash64(F.lit(seed), F.col(key))
+    """A seeded sample by md5 of `key`, the same on every run and engine: so many rows, or about such a share."""
+    text = F.concat_ws("\x1f", F.lit(str(seed)), F.col(key).cast("string"))
     if count is not None:
-        return frame.withColumn("__h", h).orderBy("__h", key).limit(count).drop("__h")
-    return frame.where(F.pmod(h, F.lit(1 << 30)) < int((fraction or 0) * (1 << 30)))
+        return frame.withColumn("__h", F.md5(text.cast("binary"))).orderBy("__h", key).limit(count).drop("__h")
+    return frame.where(portable.h28(text) < int((fraction or 0) * (1 << 28)))

@@ -20,7 +20,8 @@ from joinscout.operators import execute, graph, index, labels, lists, profile, s
 from joinscout.sources.lake import RID, Lake, shared_folder, write_artifact
 
 MOST_ROWS = 10_000_000
-MOST_COMBINATIONS = 1000
+#: Combinations of candidate columns that are ranked by co-occurrence; `answers` takes another number, or None for all.
+MOST_COMBINATIONS = 100_000
 
 
 @dataclass
@@ -38,9 +39,19 @@ class Discovery:
     def __post_init__(self) -> None:
         self.folder = self.folder or shared_folder(self.lake.spark)
 
+    def build(self) -> Discovery:
+        """Makes the whole index in `folder`; a Discovery of the same lake and rules opened on that folder later reads it."""
+        self.ranked, self.profile, self.labels  # noqa: B018
+        return self
+
     def kept(self, frame: DataFrame, name: str) -> DataFrame:
-        """Written to `folder` and read back: later plans begin there, and lost executors lose nothing of it."""
-        return write_artifact(frame, f"{self.folder}/{name}")
+        """Written to `folder` and read back, unless it is there already: later plans begin there, and lost executors lose nothing of it."""
+        path = f"{self.folder}/{name}"
+        spark = self.lake.spark
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            return spark.read.schema(frame.schema).parquet(path)
+        return write_artifact(frame, path)
 
     @cached_property
     def columns(self) -> DataFrame:
@@ -167,8 +178,11 @@ class Answer:
     table: DataFrame
 
 
-def answers(d: Discovery, query: list[dict], k_columns: int = 10, k_paths: int = 5, most_rows: int = MOST_ROWS) -> list[Answer]:
-    """Up to k_paths joined tables for a query table, the likeliest first; ends with the first that holds all example rows."""
+def answers(d: Discovery, query: list[dict], k_columns: int = 10, k_paths: int = 5, most_rows: int = MOST_ROWS, most_combinations: int | None = MOST_COMBINATIONS) -> list[Answer]:
+    """Up to k_paths joined tables for a query table, the likeliest first; ends with the first that holds all example rows.
+
+    Combinations are ranked by co-occurrence among the first `most_combinations` by label rank, or among all if that is None.
+    """
     spark = d.lake.spark
     examples = examples_of(spark, query)
     n = len(query[0]["examples"])
@@ -183,7 +197,7 @@ def answers(d: Discovery, query: list[dict], k_columns: int = 10, k_paths: int =
     choices = [[x for x in near if x[0] == q and x in full] for q in range(len(query))]
     if not all(choices):
         return []
-    combos = [[choices[q][i] for q, i in enumerate(at)] for at in islice(lists.lazy_combinations([len(c) for c in choices]), MOST_COMBINATIONS)]
+    combos = [[choices[q][i] for q, i in enumerate(at)] for at in islice(lists.lazy_combinations([len(c) for c in choices]), most_combinations)]
     together = {}
     for t in sorted({x[1] for x in full}):
         for own in {tuple(x for x in combo if x[1] == t) for combo in combos}:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,12 +13,33 @@ from joinscout.functions import portable
 
 
 def signatures(keys: DataFrame, key: str, k: int = portable.PERMUTATIONS, seed: int = 1) -> DataFrame:
-    """(tbl, col, signature) over the non-null values of `key`: k minima in one hash aggregate, partial before the shuffle.
+    """(tbl, col, signature) over the non-null values of `key`.
 
-    A value is hashed once, in a projection of its own, and not once for each permutation.
+    A value is hashed once, by the JVM. Each task takes the minima of all permutations of its columns' hashes in numpy, so that one row a
+    column and task is all that is shuffled; their minima by place are the signature.
     """
     hashed = keys.select("tbl", "col", portable.h28(F.col(key)).alias("h")).where("h IS NOT NULL")
-    return hashed.groupBy("tbl", "col").agg(portable.minhash(F.col("h"), k, seed).alias("signature"))
+    factors = np.array(portable.permutations(k, seed), np.int64)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], np.ndarray] = {}
+        for batch in batches:
+            frame = batch.to_pandas()
+            for name, own in frame.groupby(["tbl", "col"], sort=False).h:
+                h = own.to_numpy(np.int64)
+                have = held.setdefault(name, np.full(k, portable.PRIME, np.int64))
+                for s in range(0, len(h), 4096):
+                    np.minimum(have, ((h[s : s + 4096, None] * factors[:, 0] + factors[:, 1]) % portable.PRIME).min(0), out=have)
+        tbl, col = ([n[i] for n in held] for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(tbl, pa.string()), pa.array(col, pa.string()), pa.array([x.tolist() for x in held.values()], pa.list_(pa.int64()))], names=["tbl", "col", "signature"])
+
+    return merged(hashed.mapInArrow(least, "tbl string, col string, signature array<bigint>"), k)
+
+
+def merged(sketches: DataFrame, k: int = portable.PERMUTATIONS) -> DataFrame:
+    """The signature of each (tbl, col) from several: minima by place."""
+    places = sketches.select("tbl", "col", F.posexplode("signature").alias("place", "x")).groupBy("tbl", "col", "place").agg(F.min("x").alias("x"))
+    return places.groupBy("tbl", "col").agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("s")).select("tbl", "col", F.col("s.x").alias("signature"))
 
 
 def estimated_jaccard(sketches: DataFrame, columns: DataFrame) -> DataFrame:
@@ -29,7 +54,7 @@ def estimated_jaccard(sketches: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def _cell(key: str, row: int, width: int) -> F.Column:
-    return F.pmod(F.xxhash64(F.lit(row), F.col(key)), F.lit(width))
+    return portable.h28(F.concat_ws(":", F.lit(row), F.col(key).cast("string"))) % width
 
 
 def count_min(weights: DataFrame, key: str, weight: str, depth: int = 5, width: int = 2048) -> DataFrame:

@@ -7,27 +7,32 @@ from pyspark.sql import SparkSession
 from joinscout.functions import portable
 from joinscout.sources.lake import Lake
 
-#: String and integer columns; floating-point columns print differently from engine to engine.
+#: All columns of the relational tables.
 COLUMNS = {
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
-    "events": ["event_id", "user_id", "event_type"],
-    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
     "nation": ["n_nationkey", "n_name", "n_regionkey"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
-    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
     "region": ["r_regionkey", "r_name"],
-    "supplier": ["s_suppkey", "s_name", "s_nationkey"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
 }
+#: Floating-point numbers and times print differently from engine to engine, so these columns are written in one way.
+AMOUNTS = ["c_acctbal", "value", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "o_totalprice", "p_retailprice", "s_acctbal"]
+TIMES = ["ts", "l_shipdate", "o_orderdate"]
+TEXTS = {c: f"CAST(CAST({c} AS DECIMAL(18, 2)) AS STRING)" for c in AMOUNTS} | {c: f"date_format({c}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')" for c in TIMES}
+_SQL_TEXTS = {c: f"CAST(CAST({c} AS DECIMAL(18, 2)) AS VARCHAR)" for c in AMOUNTS} | {c: f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')" for c in TIMES}
 #: Row ids from keys, so that they are stable however a table is read.
 RIDS = {"customer": "c_custkey", "events": "event_id", "lineitem": "l_orderkey * 8 + l_linenumber", "nation": "n_nationkey", "orders": "o_orderkey", "part": "p_partkey", "region": "r_regionkey", "supplier": "s_suppkey"}
 
 
 def driver_lake(spark: SparkSession, sf_dir: str) -> Lake:
-    return Lake.from_parquet(spark, sf_dir, COLUMNS, RIDS)
+    return Lake.from_parquet(spark, sf_dir, COLUMNS, RIDS, TEXTS)
 
 
 def counts_sql() -> str:
-    each = [f"SELECT '{t}' AS tbl, '{c}' AS col, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM {t} GROUP BY 3" for t, cols in COLUMNS.items() for c in cols]
+    each = [f"SELECT '{t}' AS tbl, '{c}' AS col, {_SQL_TEXTS.get(c, f'CAST({c} AS VARCHAR)')} AS value, count(*) AS n FROM {t} GROUP BY 3" for t, cols in COLUMNS.items() for c in cols]
     return " UNION ALL ".join(each)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Iterable
@@ -56,12 +57,26 @@ def null_words(frame: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings; rows longer than the header are skipped, shorter ones filled up with nulls."""
+    """All columns as strings; rows longer than the header are skipped, shorter ones filled up with nulls.
+
+    A row of another length than the header's comes with its raw text, whose separators outside quotes tell which it is.
+    """
     header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))] + [T.StructField(_EXTRA, T.StringType())])
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+    options = {"header": True, "enforceSchema": True, "multiLine": True, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _EXTRA}
+    raw = spark.read.schema(schema).options(**options).csv(path)
+    bare = F.regexp_replace(_EXTRA, '"[^"]*"', "")
+    fits = F.coalesce(F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) < len(header), F.lit(True))
     names = _unique([clean_header(h) for h in header])
-    return null_words(raw.where(F.col(_EXTRA).isNull()).drop(_EXTRA).toDF(*names))
+    return null_words(raw.where(fits).drop(_EXTRA).toDF(*names))
+
+
+def csv_tables(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The path of each CSV file or folder of CSV parts in a folder, by table name."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    paths = sorted(str(x.getPath()) for x in found)
+    return {p.rsplit("/", 1)[1].removesuffix(".csv"): p for p in paths if p.endswith(".csv")}
 
 
 def _unique(names: list[str]) -> list[str]:
@@ -74,8 +89,9 @@ def _unique(names: list[str]) -> list[str]:
 
 
 def repair_utf8(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files, bytes that aren't UTF-8 left out."""
-    return spark.read.text(path).select(F.regexp_replace(F.make_valid_utf8("value"), "\ufffd", "").alias("line"))
+    """Lines of text files, bytes that aren't UTF-8 left out. A replacement character that the file holds stays, by way of a noncharacter."""
+    held = F.make_valid_utf8(F.replace(F.col("value"), F.lit("\ufffd"), F.lit("\ufdd0")))
+    return spark.read.text(path).select(F.translate(F.replace(held, F.lit("\ufffd"), F.lit("")), "\ufdd0", "\ufffd").alias("line"))
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
@@ -128,14 +144,23 @@ def to_grid(frame: DataFrame) -> DataFrame:
 QUERY_TABLES = "query_id string, query array<struct<semantic_type:string,examples:array<string>,table:string,column:string>>, path array<string>, join_order array<struct<parent:string,child:string,parent_column:string,child_column:string,join_type:string>>"
 
 
-def read_query_tables(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(QUERY_TABLES).option("multiLine", True).json(path)
+def read_query_tables(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Query tables of a JSON array, or of one object a line."""
+    return spark.read.schema(QUERY_TABLES).option("multiLine", not lines).json(path)
+
+
+def write_query_tables(spark: SparkSession, queries: list[dict], path: str) -> None:
+    """Stores query tables as one JSON object a line, to be read by read_query_tables."""
+    lines = [(json.dumps({k: q[k] for k in ("query_id", "query", "path", "join_order") if k in q}),) for q in queries]
+    spark.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, under spark.checkpoint.dir; under /tmp/checkpoints if that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-    return f"{root}/joinscout-{uuid.uuid4().hex[:12]}"
+    """A new folder that driver and executors share, under spark.checkpoint.dir; in local mode under /tmp/checkpoints if that is unset."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{root or 'file:///tmp/checkpoints'}/joinscout-{uuid.uuid4().hex[:12]}"
 
 
 def write_artifact(frame: DataFrame, path: str) -> DataFrame:
@@ -153,23 +178,29 @@ class Lake:
     typed: dict[str, DataFrame] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, spark: SparkSession, frames: dict[str, DataFrame], columns: dict[str, list[str]] | None = None, rids: dict[str, str] | None = None) -> Lake:
-        """A lake over any frames. `rids` gives an SQL expression of a table's row id; else rows are numbered as they are read, which is
-        stable only if the source is (write_artifact makes it so)."""
-        tables = {}
+    def of(cls, spark: SparkSession, frames: dict[str, DataFrame], columns: dict[str, list[str]] | None = None, rids: dict[str, str] | None = None, texts: dict[str, str] | None = None) -> Lake:
+        """A lake over any frames. `rids` gives an SQL expression of a table's row id; the rows of other tables are numbered and stored in
+        the shared folder, so that ids are the same at every scan. `texts` gives an SQL expression of a column's string, else it is cast."""
+        tables, folder = {}, None
         for name in sorted(frames):
             f, cols = frames[name], (columns or {}).get(name) or frames[name].columns
-            rid = F.expr(rids[name]) if rids and name in rids else F.monotonically_increasing_id()
-            tables[name] = f.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in cols), rid.cast("long").alias(RID))
+            known = bool(rids and name in rids)
+            rid = F.expr(rids[name]) if known else F.monotonically_increasing_id()
+            cells = (F.expr(texts[c]) if texts and c in texts else F.col(f"`{c}`").cast("string") for c in cols)
+            tables[name] = f.select(*(x.alias(c) for x, c in zip(cells, cols, strict=True)), rid.cast("long").alias(RID))
+            if not known:
+                folder = folder or shared_folder(spark)
+                tables[name] = write_artifact(tables[name], f"{folder}/table-{len(tables)}")
         return cls(spark, tables, dict(frames))
 
     @classmethod
-    def from_parquet(cls, spark: SparkSession, folder: str, columns: dict[str, list[str]], rids: dict[str, str] | None = None) -> Lake:
-        return cls.of(spark, {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in columns}, columns, rids)
+    def from_parquet(cls, spark: SparkSession, folder: str, columns: dict[str, list[str]], rids: dict[str, str] | None = None, texts: dict[str, str] | None = None) -> Lake:
+        return cls.of(spark, {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in columns}, columns, rids, texts)
 
     @classmethod
-    def from_csv(cls, spark: SparkSession, paths: dict[str, str], cap: int | None = None) -> Lake:
-        """CSV files by table name, cleaned: no empty tables, no empty columns, at most `cap` rows each if given."""
+    def from_csv(cls, spark: SparkSession, paths: dict[str, str] | str, cap: int | None = None) -> Lake:
+        """CSV files by table name, or all of a folder, cleaned: no empty tables, no empty columns, at most `cap` rows each if given."""
+        paths = csv_tables(spark, paths) if isinstance(paths, str) else paths
         names = short_names(paths)
         frames = {}
         for name, path in paths.items():
@@ -204,6 +235,12 @@ class Lake:
     def value_counts(self) -> DataFrame:
         """(tbl, col, value, n), a null value included: what all profiles and sketches are made from.
 
-        Counting distinct values first means that each later step works on distinct values only; the sum is partial before the shuffle.
+        Each column is counted by itself and named afterwards: a scan reads one column, and only its distinct values are shuffled, without
+        names. Later steps work on distinct values only.
         """
-        return self.cells().groupBy("tbl", "col", "value").agg(F.count(F.lit(1)).alias("n"))
+        parts = []
+        for t in sorted(self.tables):
+            for c in self.columns_of(t):
+                counts = self.tables[t].groupBy(F.col(f"`{c}`").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+                parts.append(counts.select(F.lit(t).alias("tbl"), F.lit(c).alias("col"), "value", "n"))
+        return reduce(DataFrame.union, parts)

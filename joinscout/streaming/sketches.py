@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from joinscout.functions import portable
+from joinscout.operators.sketch import merged, signatures
 
 
 def merge_signatures(a: DataFrame, b: DataFrame, k: int = portable.PERMUTATIONS) -> DataFrame:
     """The signatures (tbl, col, signature) of the union of two inputs: minima by place."""
-    least = F.array(*(F.min(F.get("signature", F.lit(j))) for j in range(k)))
-    return a.unionByName(b).groupBy("tbl", "col").agg(least.alias("signature"))
+    return merged(a.unionByName(b), k)
 
 
 def stream_cells(rows: DataFrame, table: str, columns: list[str]) -> DataFrame:
@@ -26,8 +25,6 @@ def maintain(rows: DataFrame, table: str, columns: list[str], folder: str, check
 
     A batch that is run again after a failure writes the same folder with the same minima, so results are exactly-once.
     """
-    from joinscout.operators.sketch import signatures
-
     def update(batch: DataFrame, number: int) -> None:
         new = signatures(batch.distinct(), "value", k)
         if number > 0:
