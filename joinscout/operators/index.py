@@ -33,3 +33,14 @@ def distinct_orders(chosen: DataFrame, k: int = 5) -> DataFrame:
 
 def tables_without_paths(columns: DataFrame, paths: DataFrame) -> DataFrame:
     return columns.select("tbl").distinct().join(path_tables(paths).select("tbl").distinct(), "tbl", "left_anti")
+
+
+def orders_between(paths: DataFrame, start: str, end: str) -> DataFrame:
+    """(path, join_order) from `start` to `end`, of paths that are kept in one direction: those kept the other way are turned round."""
+    there = paths.where((F.element_at("path", 1) == start) & (F.element_at("path", -1) == end)).select("path", "join_order")
+    turned = F.transform(
+        F.reverse("join_order"),
+        lambda h: F.struct(h["child"].alias("parent"), h["parent"].alias("child"), h["child_column"].alias("parent_column"), h["parent_column"].alias("child_column"), h["join_type"].alias("join_type")),
+    )
+    back = paths.where((F.element_at("path", 1) == end) & (F.element_at("path", -1) == start)).select(F.reverse("path").alias("path"), turned.alias("join_order"))
+    return there.unionByName(back)

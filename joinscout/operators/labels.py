@@ -46,3 +46,8 @@ def fuzzy_best(word: str, words: Iterable[str]) -> str | None:
 def repaired(columns: Iterable[str], returned: dict[str, str]) -> dict[str, str | None]:
     """Labels by column, where a labeller returned ids that are only about right: each column takes the likest id's."""
     return {c: returned.get(best) if (best := fuzzy_best(c, returned)) is not None else None for c in columns}
+
+
+def value_embeddings(counts: DataFrame, encoder: Encoder = portable.gram_counts) -> DataFrame:
+    """(tbl, col, value, vec): vectors of a lake's distinct values (value counts), each value of a column once; prepared for semantic joins."""
+    return counts.where("value IS NOT NULL").select("tbl", "col", "value", encoder(F.col("value")).alias("vec"))

@@ -65,7 +65,8 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))] + [T.StructField(_EXTRA, T.StringType())])
     options = {"header": True, "enforceSchema": True, "multiLine": True, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _EXTRA}
     raw = spark.read.schema(schema).options(**options).csv(path)
-    bare = F.regexp_replace(_EXTRA, '"[^"]*"', "")
+    # the first cell, emptied, keeps Spark from reading raw texts alone, which it refuses
+    bare = F.concat(F.regexp_replace(_EXTRA, '"[^"]*"', ""), F.regexp_replace(F.coalesce("c0", F.lit("")), "(?s).+", ""))
     fits = F.coalesce(F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) < len(header), F.lit(True))
     names = _unique([clean_header(h) for h in header])
     return null_words(raw.where(fits).drop(_EXTRA).toDF(*names))
@@ -95,7 +96,7 @@ def repair_utf8(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
-    frame.write.mode("overwrite").option("header", True).csv(path)
+    frame.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def drop_empty_columns(frame: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import importlib
 import re
 import subprocess
 import sys
@@ -10,7 +11,10 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["lake_catalog", "value_jaccard_exact", "minhash_signature", "simhash_values", "join_edges", "simple_paths", "path_cardinalities", "cosine_topk", "semi_reduce", "set_metrics"]
+#: Every query of the library itself; those of the optional subpackage have tests of their own.
+CHECKED = sorted(name for module in map(importlib.import_module, entry.REGISTRIES) for name in module.ORACLE_SQL)
+#: Queries for which the smallest tables hold nothing.
+MAY_BE_EMPTY = {"semantic_semi_join"}
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
 
@@ -25,11 +29,14 @@ def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    assert rows(entry.queries()[name](spark, SF).toPandas()) == rows(con.execute(entry.oracle_sql()[name]).df())
+    got = rows(entry.queries()[name](spark, SF).toPandas())
+    assert got == rows(con.execute(entry.oracle_sql()[name]).df())
+    assert got or name in MAY_BE_EMPTY
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() == 5 or entry.entry(spark).count() > 0
+    found = entry.entry(spark)
+    assert found.columns == ["c_mktsegment", "n_name", "r_name", "n"] and found.count() == 5
 
 
 def test_library_does_not_import_llm():
