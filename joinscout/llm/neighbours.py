@@ -212,10 +212,9 @@ def build_graph(nodes: DataFrame, dtype: str, scratch: Scratch, change: float =
     cut = leaves.join(counts, "leaf").select(F.xxhash64("leaf", chunk).alias("leaf"), "id", "vec")
     graph = scratch.keep(merged(cut.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_in_leaves(dtype), NEIGHBOURS)))
     for descent in count():  # ends, as lists only get nearer
-        links = graph.select("id", F.posexplode(F.arrays_zip("ids", "gaps")).alias("nth", "x")).select("id", F.col("x.ids").alias("other"), F.col("x.gaps").alias("gap"), "nth")
-        mixed = F.xxhash64("id", "other", F.lit(descent + SEED))
-        chosen = Window.partitionBy("id").orderBy(mixed)
-        ahead = links.withColumn("turn", F.row_number().over(chosen)).where(F.col("turn") <= SAMPLE).select("id", "other")
+        links = graph.select("id", F.explode(F.arrays_zip("ids", "gaps")).alias("x")).select("id", F.col("x.ids").alias("other"), F.col("x.gaps").alias("gap"))
+        mixed = F.array_sort(F.transform("ids", lambda x, turn=descent + SEED: F.struct(F.xxhash64("id", x, F.lit(turn)).alias("turn"), x.alias("other"))))
+        ahead = graph.select("id", F.explode(F.slice(mixed, 1, SAMPLE)).alias("x")).select("id", F.col("x.other").alias("other"))
         back = _few(links.select(F.col("other").alias("id"), F.col("id").alias("other"), "gap"), "id", REVERSE).select("id", "other")
         itself = graph.select("id", F.col("id").alias("other"))
         pairs = ahead.union(back).union(itself).distinct()
