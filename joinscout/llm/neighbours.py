@@ -38,7 +38,7 @@ from joinscout.llm.common import Scratch
 DEGREE, SAMPLE, REVERSE, GIVEN = 64, 32, 32, 16
 TREES, LEAF = 4, 256
 #: Share of the lists' entries that the last round of descent may still change.
-CHANGE = 0.02
+CHANGE = 0.07
 #: Beam to begin with, and links back of a node that a search follows.
 BEAM, LINKS_BACK = 48, 24
 #: Least recall, and the query nodes on which it is measured.
@@ -175,11 +175,9 @@ def _meet(dtype: str):
 
 
 def _few(rows: DataFrame, by: str, limit: int) -> DataFrame:
-    """At most `limit` rows for each value of `by`, nearest first; a hub's rows are reduced in parts before they meet."""
-    part = Window.partitionBy(by, "part").orderBy("gap", "other")
-    full = Window.partitionBy(by).orderBy("gap", "other")
-    parts = rows.withColumn("part", F.pmod(F.xxhash64("other"), F.lit(64)))
-    return parts.withColumn("nth", F.row_number().over(part)).where(F.col("nth") <= limit).withColumn("nth", F.row_number().over(full)).where(F.col("nth") <= limit).drop("nth", "part")
+    """At most `limit` rows for each value of `by`, nearest first; Spark cuts a hub's rows to `limit` in each task before they meet."""
+    nearest_first = Window.partitionBy(by).orderBy("gap", "other")
+    return rows.withColumn("nth", F.row_number().over(nearest_first)).where(F.col("nth") <= limit).drop("nth")
 
 
 def _changed(before: DataFrame, after: DataFrame) -> int:
