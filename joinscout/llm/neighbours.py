@@ -4,10 +4,10 @@ Rows of equal vectors are one node, known by its smallest id and its first ids,
 no more than another.
 
 Graph: nodes first get neighbours from leaves of a few random-projection trees (a sign pattern, cut into chunks of LEAF
-rows at most). Then each round joins neighbours of neighbours: a node's sampled neighbours and reverse neighbours meet at
-the node with their vectors, all their distances are taken in one matrix product, and what improves a member's list is
-sent to it. A list holds DEGREE neighbours; samples are bounded, so no task gathers a hub's links. Rounds go on until a round
-changes at most CHANGE of the lists' entries.
+rows at most). Then each round joins neighbours of neighbours: a node's sampled neighbours, new ones first, and the nodes
+that sampled it meet at the node with their vectors, all their distances are taken in one matrix product, and what improves a
+member's list is sent to it. A list holds DEGREE neighbours; each task sends a hub SAMPLE links at most and REVERSE of them meet,
+so no task gathers all of a hub's links. Rounds go on until a round changes at most CHANGE of the lists' entries.
 
 Search: a query node begins with its own list. Each round it expands its nearest unexpanded nodes by a join with the
 graph, fetches the vectors of nodes not seen before by another join, and measures them in double precision on the
@@ -46,6 +46,10 @@ RECALL, PROBES = 0.96, 100
 MOST_LENGTHS = 64
 SEED = 20240
 NEIGHBOURS = "id bigint, ids array<bigint>, gaps array<float>"
+GRAPH = "id bigint, vec binary, ids array<bigint>, gaps array<float>, fresh array<tinyint>"
+MEMBERS = "id bigint, other bigint, vec binary, worst float, sent boolean"
+#: Bytes of vectors that a task sends on at a time.
+SENT_BYTES = 8 << 20
 
 
 def clean(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -111,31 +115,110 @@ def _in_leaves(dtype: str):
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One list of the DEGREE nearest for each id, from all its lists."""
+    """Each node's list of its DEGREE nearest, from the list it had (the row with its vector) and those found; `fresh` marks new entries."""
     for b in _groups(batches):
-        sizes = b.column(1).value_lengths().to_numpy()
+        key, sizes, own = b.column(0).to_numpy(), b.column(1).value_lengths().to_numpy(), b.column(3).is_valid()
+        held = own.to_numpy(zero_copy_only=False)
         ids, gaps = b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()
-        keys = np.repeat(b.column(0).to_numpy(), sizes)
-        order = np.lexsort((gaps, ids, keys))
-        keys, ids, gaps = keys[order], ids[order], gaps[order]
-        one = np.concatenate(([True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))) & (ids != keys) if len(keys) else np.empty(0, bool)
-        keys, ids, gaps = keys[one], ids[one], gaps[one]
+        keys, new = np.repeat(key, sizes), np.repeat(~held, sizes)
+        order = np.lexsort((gaps, new, ids, keys))
+        keys, ids, gaps, new = keys[order], ids[order], gaps[order], new[order]
+        one = ids != keys
+        one[1:] &= (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+        keys, ids, gaps, new = keys[one], ids[one], gaps[one], new[one]
         order = np.lexsort((ids, gaps, keys))
-        keys, ids, gaps = keys[order], ids[order], gaps[order]
-        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
-        nth = np.arange(len(keys)) - np.repeat(new, np.diff(np.append(new, len(keys))))
-        top = nth < DEGREE
-        yield _lists(keys[new], np.minimum(np.diff(np.append(new, len(keys))), DEGREE), ids[top], gaps[top])
-
+        keys, ids, gaps, new = keys[order], ids[order], gaps[order], new[order]
+        nodes = key[held]
+        start = np.searchsorted(keys, nodes)
+        count_of = np.searchsorted(keys, nodes, "right") - start
+        top = np.arange(len(keys)) - np.repeat(start, count_of) < DEGREE
+        lists = _lists(nodes, np.minimum(count_of, DEGREE), ids[top], gaps[top])
+        offsets = lists.column(1).offsets
+        fresh = pa.ListArray.from_arrays(offsets, pa.array(new[top].astype(np.int8)))
+        yield pa.RecordBatch.from_arrays([lists.column(0), b.column(3).filter(own), lists.column(1), lists.column(2), fresh], names=["id", "vec", "ids", "gaps", "fresh"])
+
+
+def merged(graph: DataFrame, found: DataFrame) -> DataFrame:
+    """The graph's lists (id, vec, ids, gaps), improved by lists (id, ids, gaps) found for its nodes."""
+    rows = graph.select("id", "ids", "gaps", "vec").union(found.select("id", "ids", "gaps", F.lit(None).cast("binary")))
+    return rows.repartition("id").sortWithinPartitions("id").mapInArrow(_merge, GRAPH)
+
+
+def _mixed(a: np.ndarray, b: np.ndarray, turn: int) -> np.ndarray:
+    """A hash of each pair and the turn, the same whenever a task is run again."""
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(turn * 0x165667B1)
+    for shift in (31, 29):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _sampled(b: pa.RecordBatch, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """SAMPLE entries of each list (row, id), new ones first; columns id, ids, fresh."""
+    sizes, ids, fresh = b.column(1).value_lengths().to_numpy(), b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((_mixed(b.column(0).to_numpy()[row], ids, turn), -fresh, row))
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    taken = order[nth < SAMPLE]
+    return row[taken], ids[taken]
+
+
+def _ask(turn: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, other): each node's sampled neighbours, whose vectors it wants."""
+        for b in batches:
+            row, other = _sampled(b, turn)
+            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[row]), pa.array(other)], names=["id", "other"])
 
-def merged(lists: DataFrame) -> DataFrame:
-    return lists.repartition("id").sortWithinPartitions("id").mapInArrow(_merge, NEIGHBOURS)
+    return ask
 
 
-def _meet(dtype: str):
+def _send(turn: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each node with its vector, sent to itself and to its sampled neighbours; to one node REVERSE times at most in a task."""
+        known, had = np.empty(0, np.int64), np.empty(0, np.int64)
+        for whole in batches:
+            step = max(16, SENT_BYTES // (SAMPLE * max(1, whole.column(3).nbytes // max(1, whole.num_rows))))
+            for s in range(0, whole.num_rows, step):
+                b = whole.slice(s, step)
+                row, to = _sampled(b, turn)
+                order = np.lexsort((row, to))
+                row, to = row[order], to[order]
+                names, first, n = np.unique(to, return_index=True, return_counts=True)
+                at = np.searchsorted(known, names)
+                there = at < len(known)
+                there[there] = known[at[there]] == names[there]
+                before = np.zeros(len(names), np.int64)
+                before[there] = had[at[there]]
+                fits = np.arange(len(to)) - np.repeat(first, n) + np.repeat(before, n) < REVERSE
+                had[at[there]] += n[there]
+                known, had = np.insert(known, at[~there], names[~there]), np.insert(had, at[~there], n[~there])
+                row, to = np.concatenate((row[fits], np.arange(b.num_rows))), np.concatenate((to[fits], b.column(0).to_numpy()))
+                by = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(to), b.column(0).take(by), b.column(3).take(by), b.column(4).take(by), pa.array(np.ones(len(to), bool))], names=["id", "other", "vec", "worst", "sent"])
+
+    return send
+
+
+def _invited(b: pa.RecordBatch, turn: int) -> pa.RecordBatch:
+    """Each group's members once; of those only sent to it the node itself and REVERSE others."""
+    key, other, sent = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(4).to_numpy(zero_copy_only=False)
+    order = np.lexsort((sent, other, key))
+    key, other, sent = key[order], other[order], sent[order] & (key[order] != other[order])
+    one = np.ones(len(key), bool)
+    one[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1])
+    key, other, sent, order = key[one], other[one], sent[one], order[one]
+    by = np.lexsort((_mixed(key, other, turn), sent, key))
+    key, sent, order = key[by], sent[by], order[by]
+    run = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (sent[1:] != sent[:-1]))))
+    nth = np.arange(len(key)) - np.repeat(run, np.diff(np.append(run, len(key))))
+    return b.take(pa.array(order[~sent | (nth < REVERSE)]))
+
+
+def _meet(dtype: str, turn: int):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """At each node, its members' distances to each other; each member gets those that improve its list, GIVEN at most."""
-        for whole in _groups(batches):
+        for every in _groups(batches):
+            whole = _invited(every, turn)
             keys = whole.column(0).to_numpy()
             edges = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
             step = 512
@@ -180,13 +263,6 @@ def _few(rows: DataFrame, by: str, limit: int) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(nearest_first)).where(F.col("nth") <= limit).drop("nth")
 
 
-def _changed(before: DataFrame, after: DataFrame) -> int:
-    """How many entries of the lists `after` aren't in those `before`."""
-    was = before.select("id", F.col("ids").alias("was"))
-    new = F.size(F.array_except("ids", F.coalesce("was", F.array().cast("array<bigint>"))))
-    return after.join(was, "id", "left").agg(F.sum(new)).first()[0] or 0
-
-
 def build_graph(nodes: DataFrame, dtype: str, scratch: Scratch, change: float = CHANGE) -> DataFrame:
     """(id, ids, gaps): each node's nearest nodes, found by NN-descent over `nodes` (id, vec)."""
     n = nodes.count()
@@ -208,19 +284,17 @@ def build_graph(nodes: DataFrame, dtype: str, scratch: Scratch, change: float =
     counts = leaves.groupBy("leaf").count()
     chunk = F.pmod(F.xxhash64("id", "leaf"), F.ceil(F.col("count") / (2 * LEAF)))
     cut = leaves.join(counts, "leaf").select(F.xxhash64("leaf", chunk).alias("leaf"), "id", "vec")
-    graph = scratch.keep(merged(cut.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_in_leaves(dtype), NEIGHBOURS)))
+    bare = nodes.select("id", "vec", F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<float>").alias("gaps"))
+    graph = scratch.keep(merged(bare, cut.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_in_leaves(dtype), NEIGHBOURS)))
+    worst = F.when(F.size("gaps") >= DEGREE, F.element_at("gaps", -1)).otherwise(F.lit(float("inf"))).cast("float").alias("worst")
     for descent in count():  # ends, as lists only get nearer
-        links = graph.select("id", F.explode(F.arrays_zip("ids", "gaps")).alias("x")).select("id", F.col("x.ids").alias("other"), F.col("x.gaps").alias("gap"))
-        mixed = F.array_sort(F.transform("ids", lambda x, turn=descent + SEED: F.struct(F.xxhash64("id", x, F.lit(turn)).alias("turn"), x.alias("other"))))
-        ahead = graph.select("id", F.explode(F.slice(mixed, 1, SAMPLE)).alias("x")).select("id", F.col("x.other").alias("other"))
-        back = _few(links.select(F.col("other").alias("id"), F.col("id").alias("other"), "gap"), "id", REVERSE).select("id", "other")
-        itself = graph.select("id", F.col("id").alias("other"))
-        pairs = ahead.union(back).union(itself).distinct()
-        worst = graph.select(F.col("id").alias("other"), F.when(F.size("gaps") >= DEGREE, F.array_max("gaps")).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
-        known = nodes.select(F.col("id").alias("other"), "vec").join(worst, "other", "left").select("other", "vec", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"))
-        met = pairs.join(known, "other").select("id", "other", "vec", "worst").repartition("id").sortWithinPartitions("id")
-        better = scratch.keep(merged(graph.union(met.mapInArrow(_meet(dtype), NEIGHBOURS))))
-        changed = _changed(graph, better)
+        turn = SEED + descent
+        sent = graph.select("id", "ids", "fresh", "vec", worst).mapInArrow(_send(turn), MEMBERS)
+        asked = graph.select("id", "ids", "fresh").mapInArrow(_ask(turn), "id bigint, other bigint")
+        brought = asked.join(graph.select(F.col("id").alias("other"), "vec", worst), "other").select("id", "other", "vec", "worst", F.lit(False).alias("sent"))
+        met = sent.union(brought).repartition("id").sortWithinPartitions("id")
+        better = scratch.keep(merged(graph, met.mapInArrow(_meet(dtype, turn), NEIGHBOURS)))
+        changed = better.agg(F.sum(F.aggregate("fresh", F.lit(0), lambda total, x: total + x))).first()[0] or 0
         scratch.drop(graph)
         scratch.free_shuffles()
         graph = better
@@ -228,16 +302,27 @@ def build_graph(nodes: DataFrame, dtype: str, scratch: Scratch, change: float =
             return graph
 
 
-STATE = "id bigint, vec binary, ids binary, gaps binary, fresh binary"
+STATE = "id bigint, vec binary, ids binary, gaps binary, fresh binary, front array<bigint>, seen array<bigint>"
+
+
+def _pools(b: pa.RecordBatch, pools: list[tuple[np.ndarray, np.ndarray, np.ndarray]], beam: int) -> pa.RecordBatch:
+    """Rows of STATE: the nearest unexpanded nodes of each pool, marked as expanded and given as its front, and all nodes seen."""
+    columns: list[list] = [[], [], [], [], []]
+    for ids, gaps, fresh in pools:
+        at = np.flatnonzero(fresh[:beam])[: max(1, beam // 3)]
+        fresh[at] = 0
+        for column, x in zip(columns, (ids.tobytes(), gaps.tobytes(), fresh.tobytes(), ids[at], ids), strict=True):
+            column.append(x)
+    kinds = (pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", "vec", "ids", "gaps", "fresh", "front", "seen"])
 
 
-def _measure(dtype: str):
+def _measure(dtype: str, beam: int):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds fetched nodes to each query's pool; columns id, vec, ids, gaps, fresh, new, vectors."""
+        """Adds fetched nodes to each query's pool and takes the next step; columns id, vec, ids, gaps, fresh, new, vectors."""
         for whole in batches:
             for s in range(0, whole.num_rows, 64):
-                b = whole.slice(s, 64)
-                out: list[list] = [[], [], []]
+                b, pools = whole.slice(s, 64), []
                 for vec, ids, gaps, fresh, new, vectors in zip(*(b.column(i).to_pylist() for i in range(1, 7)), strict=True):
                     mine = np.frombuffer(vec, dtype).astype(np.float64)
                     found = np.frombuffer(b"".join(vectors or ()), dtype).reshape(-1, len(mine)).astype(np.float64)
@@ -246,27 +331,18 @@ def _measure(dtype: str):
                     all_gaps = np.concatenate((np.frombuffer(gaps, np.float64), far))
                     all_fresh = np.concatenate((np.frombuffer(fresh, np.int8), np.ones(len(far), np.int8)))
                     order = np.lexsort((all_ids, all_gaps))
-                    for o, x in zip(out, (all_ids, all_gaps, all_fresh), strict=True):
-                        o.append(x[order].tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(o, pa.binary()) for o in out)], names=["id", "vec", "ids", "gaps", "fresh"])
+                    pools.append((all_ids[order], all_gaps[order], all_fresh[order]))
+                yield _pools(b, pools, beam)
 
     return measure
 
 
-def _step(beam: int, expand: int):
+def _step(beam: int):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Marks the nearest unexpanded nodes of each pool as expanded and gives them and all nodes seen."""
+        """Takes the next step of pools that a wider beam gives more to expand."""
         for b in batches:
-            rows = []
-            for key, vec, ids, gaps, fresh in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                f = np.frombuffer(fresh, np.int8).copy()
-                at = np.flatnonzero(f[:beam])[:expand]
-                f[at] = 0
-                seen = np.frombuffer(ids, np.int64)
-                rows.append((key, vec, ids, gaps, f.tobytes(), seen[at].tolist(), seen.tolist()))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "vec", "ids", "gaps", "fresh", "front", "seen"])
+            kept = zip(*(b.column(i).to_pylist() for i in range(2, 5)), strict=True)
+            yield _pools(b, [(np.frombuffer(i, np.int64), np.frombuffer(g, np.float64), np.frombuffer(f, np.int8).copy()) for i, g, f in kept], beam)
 
     return step
 
@@ -307,24 +383,24 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dtype: str, s
     around = scratch.keep(ahead.union(back).groupBy("id").agg(F.collect_set("other").alias("around")))
     reach = _reach(queries, nodes, dtype, k)
     empty = F.lit(b"")
-    state = scratch.keep(queries.select("id", "vec", empty.alias("ids"), empty.alias("gaps"), empty.alias("fresh"), F.array("id").alias("new"), F.array("vec").alias("vectors")).mapInArrow(_measure(dtype), STATE))
+    state = scratch.keep(queries.select("id", "vec", empty.alias("ids"), empty.alias("gaps"), empty.alias("fresh"), F.array("id").alias("new"), F.array("vec").alias("vectors")).mapInArrow(_measure(dtype, beam), STATE))
     while True:
-        stepped = scratch.keep(state.mapInArrow(_step(beam, max(1, beam // 3)), STATE + ", front array<bigint>, seen array<bigint>"))
-        if stepped.where(F.size("front") > 0).isEmpty():
-            scratch.drop(stepped)
+        last = state
+        if state.where(F.size("front") > 0).isEmpty():
             # A pool of which nothing is fresh has seen all nodes that links lead to.
             if _recall(state, reach, k) >= recall or state.where(F.hex("fresh").contains("01")).isEmpty():
                 return state.select("id", "ids", "gaps")
             beam += max(1, beam // 2)
+            state = scratch.keep(last.mapInArrow(_step(beam), STATE))
+            scratch.drop(last)
             continue
-        scratch.drop(state)
-        front = stepped.select(F.col("id").alias("query"), F.explode("front").alias("id")).join(around, "id")
+        front = last.select(F.col("id").alias("query"), F.explode("front").alias("id")).join(around, "id")
         met = front.groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("around"))).alias("met"))
-        fresh = met.join(stepped.select(F.col("id").alias("query"), "seen"), "query").select("query", F.explode(F.array_except("met", "seen")).alias("id"))
+        fresh = met.join(last.select(F.col("id").alias("query"), "seen"), "query").select("query", F.explode(F.array_except("met", "seen")).alias("id"))
         fetched = fresh.join(nodes, "id").groupBy("query").agg(F.collect_list(F.struct("id", "vec")).alias("got"))
-        joined = stepped.join(fetched, stepped.id == fetched["query"], "left").select("id", "vec", "ids", "gaps", "fresh", F.col("got.id").alias("new"), F.col("got.vec").alias("vectors"))
-        state = scratch.keep(joined.mapInArrow(_measure(dtype), STATE))
-        scratch.drop(stepped)
+        joined = last.join(fetched, last.id == fetched["query"], "left").select("id", "vec", "ids", "gaps", "fresh", F.col("got.id").alias("new"), F.col("got.vec").alias("vectors"))
+        state = scratch.keep(joined.mapInArrow(_measure(dtype, beam), STATE))
+        scratch.drop(last)
         scratch.free_shuffles()
 
 
