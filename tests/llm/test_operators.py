@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -623,3 +624,44 @@ def test_crc(docs):
 
     for r in docs.select("doc_id", crc_of_id("doc_id").alias("c")).where("doc_id IS NOT NULL").collect():
         assert r["c"] == zlib.crc32(str(r["doc_id"]).encode())
+
+
+def _lists_to(hub: int, ids: range, vec: bytes) -> pa.RecordBatch:
+    """Nodes (id, ids, fresh, vec, worst) whose lists hold the hub and the node's successor."""
+    n = len(ids)
+    lists = pa.array([[hub, i + 1] for i in ids], pa.list_(pa.int64()))
+    fresh = pa.array([[1, 0]] * n, pa.list_(pa.int8()))
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists, fresh, pa.array([vec] * n), pa.array([1.0] * n, pa.float32())], names=["id", "ids", "fresh", "vec", "worst"])
+
+
+def test_neighbours_hub_gets_a_bounded_number_of_links():
+    batches = [_lists_to(-5, range(0, 300), b"abcd"), _lists_to(-5, range(300, 700), b"abcd")]
+    sent = pa.Table.from_batches(list(neighbours._send(3)(iter(batches)))).to_pandas()
+    assert (sent.id == -5).sum() == neighbours.REVERSE
+    assert set(zip(sent.id, sent.other, strict=True)) >= {(i, i) for i in range(700)} | {(i + 1, i) for i in range(700)}
+    again = pa.Table.from_batches(list(neighbours._send(3)(iter(batches)))).to_pandas()
+    assert sent.equals(again)  # a task that is run again sends the same
+
+
+def test_neighbours_members_meet_once_and_hubs_are_cut():
+    n = 3 * neighbours.REVERSE
+    rows = [(7, 7, True)] + [(7, 100 + i, True) for i in range(n)] + [(7, 100, False), (7, 50, False)] + [(8, 8, True), (8, 9, True), (8, 9, True)]
+    key, other, sent = (pa.array(x) for x in zip(*rows, strict=True))
+    batch = pa.RecordBatch.from_arrays([key, other, pa.array([b"v"] * len(rows)), pa.array([1.0] * len(rows), pa.float32()), sent], names=["id", "other", "vec", "worst", "sent"])
+    got = neighbours._invited(batch, 1).to_pandas()
+    assert not got.duplicated(["id", "other"]).any()
+    hub = got[got.id == 7]
+    assert {7, 50, 100} <= set(hub.other) and len(hub) == 3 + neighbours.REVERSE
+    assert sorted(got[got.id == 8].other) == [8, 9]
+
+
+def test_neighbours_lists_are_merged_and_new_entries_marked():
+    d = neighbours.DEGREE
+    had = [(1, [2, 3], [1.0, 2.0], b"one"), (1, [3, 4, 1], [2.0, 0.5, 0.0], None), (2, [], [], b"two"), (3, [], [], b"three"), (3, list(range(10, 10 + 2 * d)), [float(i) for i in range(2 * d)], None)]
+    columns = list(zip(*had, strict=True))
+    kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "ids", "gaps", "vec"])
+    one, two, three = pa.Table.from_batches(list(neighbours._merge(iter([batch])))).to_pylist()
+    assert (one["vec"], one["ids"], one["gaps"], one["fresh"]) == (b"one", [4, 2, 3], [0.5, 1.0, 2.0], [1, 0, 0])
+    assert (two["vec"], two["ids"], two["fresh"]) == (b"two", [], [])
+    assert three["ids"] == list(range(10, 10 + d)) and set(three["fresh"]) == {1}
