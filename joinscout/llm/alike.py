@@ -21,9 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from joinscout.llm.common import Scratch, slices, unused
+from joinscout.llm.common import Scratch, grouped, slices, unused
 from joinscout.llm.components import components
-from joinscout.llm.neighbours import _groups
 from joinscout.llm.simhash import links as simhash_links
 from joinscout.llm.simhash import majority
 
@@ -128,7 +127,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of alike sets of each cell; rows are (cell, node, text)."""
-    for b in _groups(batches):
+    for b in grouped(batches):
         cell, node = b.column(0).to_numpy(), b.column(1).to_numpy()
         edges = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]))
         for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):

@@ -1,4 +1,8 @@
-"""Approximate nearest neighbours (10): NN-descent builds a neighbour graph by Spark joins; queries walk it greedily.
+"""Approximate nearest neighbours (10): NN-descent builds neighbour graphs; queries walk them greedily.
+
+Unless told otherwise, `nearest` deals the nodes into blocks and builds and walks a graph in each (blocks.py). With `one_graph` it builds
+one graph over all nodes by Spark joins, as told below: a query then measures fewer vectors, but vectors are shuffled again and again,
+many times the input in each round.
 
 Rows of equal vectors are one node, known by its smallest id and its first ids, so a vector that a third of all rows share costs
 no more than another.
@@ -30,10 +34,12 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from joinscout.llm.common import Scratch
+from joinscout.llm import blocks
+from joinscout.llm.common import Scratch, grouped
 
 DEGREE, SAMPLE, REVERSE, GIVEN = 64, 32, 32, 16
 TREES, LEAF = 4, 256
@@ -52,29 +58,43 @@ MEMBERS = "id bigint, other bigint, vec binary, worst float, sent boolean"
 SENT_BYTES = 8 << 20
 
 
-def clean(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """(vec_id, v) of the rows that take part, floats or doubles without a negative zero."""
-    v = F.col(vector_column)
-    kind = dict(vectors.dtypes)[vector_column]
+def packed(vectors: DataFrame, is_query: F.Column, id_column: str, vector_column: str) -> tuple[DataFrame, str]:
+    """(vec_id, vec, asks) of the rows that take part, `vec` the bytes of floats or doubles without a negative zero, and numpy's name of these."""
+    v, kind = F.col(vector_column), dict(vectors.dtypes)[vector_column]
     v = v if kind in ("array<float>", "array<double>") else v.cast("array<double>")
-    sound = v.isNotNull() & F.col(id_column).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(sound).select(F.col(id_column).cast("long").alias("vec_id"), F.transform(v, lambda x: x + F.lit(0).cast("float" if kind == "array<float>" else "double")).alias("v"))
+    dtype = "<f4" if kind == "array<float>" else "<f8"
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pc.and_(b.column(0).is_valid(), b.column(1).is_valid()))
+            flat, sizes = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(dtype), b.column(1).value_lengths().to_numpy()
+            ends = np.cumsum(sizes)
+            odd, some = (np.concatenate(([0], np.cumsum(x))) for x in (~np.isfinite(flat), flat != 0))  # a null component is not a number here
+            sound = (odd[ends] == odd[ends - sizes]) & (some[ends] > some[ends - sizes])
+            raw = (flat + np.zeros(1, dtype))[np.repeat(sound, sizes)].tobytes()
+            offsets = np.concatenate(([0], np.cumsum(sizes[sound]))) * np.dtype(dtype).itemsize
+            vec = pa.Array.from_buffers(pa.binary(), int(sound.sum()), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
+            rest = b.filter(pa.array(sound))
+            yield pa.RecordBatch.from_arrays([rest.column(0), vec, rest.column(2)], names=["vec_id", "vec", "asks"])
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joins sorted batches so that rows of one first column are never parted."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key = b.column(0).to_numpy()
-        cut = int(np.searchsorted(key, key[-1]))
-        if cut:
-            yield pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks().to_batches()[0]
-            held = []
-        held.append(b.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    asks = is_query if is_query is not None else F.lit(False)
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v"), asks.alias("asks"))
+    return rows.mapInArrow(pack, "vec_id bigint, vec binary, asks boolean"), dtype
+
+
+def _firsts(most: int):
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the rows (vec, vec_id) of a batch those with the `most` smallest ids of each vector."""
+        for b in batches:
+            code, ids = b.column(0).dictionary_encode().indices.to_numpy(), b.column(1).to_numpy()
+            by = np.lexsort((ids, code))
+            code, ids = code[by], ids[by]
+            one = np.concatenate(([True], (code[1:] != code[:-1]) | (ids[1:] != ids[:-1])))[: len(by)]
+            by, code = by[one], code[one]
+            nth = np.arange(len(by)) - np.searchsorted(code, code)
+            yield b.take(pa.array(by[nth < most]))
+
+    return firsts
 
 
 def _matrix(column: pa.Array, dtype: str) -> np.ndarray:
@@ -100,7 +120,7 @@ def _nearest(points: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _in_leaves(dtype: str):
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _groups(batches):
+        for b in grouped(batches):
             leaf, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
             vectors = _matrix(b.column(2), dtype).astype(np.float32)
             edges = np.concatenate(([0], np.flatnonzero(leaf[1:] != leaf[:-1]) + 1, [len(leaf)]))
@@ -116,7 +136,7 @@ def _in_leaves(dtype: str):
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each node's list of its DEGREE nearest, from the list it had (the row with its vector) and those found; `fresh` marks new entries."""
-    for b in _groups(batches):
+    for b in grouped(batches):
         key, sizes, own = b.column(0).to_numpy(), b.column(1).value_lengths().to_numpy(), b.column(3).is_valid()
         held = own.to_numpy(zero_copy_only=False)
         ids, gaps = b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()
@@ -217,7 +237,7 @@ def _invited(b: pa.RecordBatch, turn: int) -> pa.RecordBatch:
 def _meet(dtype: str, turn: int):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """At each node, its members' distances to each other; each member gets those that improve its list, GIVEN at most."""
-        for every in _groups(batches):
+        for every in grouped(batches):
             whole = _invited(every, turn)
             keys = whole.column(0).to_numpy()
             edges = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
@@ -404,41 +424,49 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dtype: str, s
         scratch.free_shuffles()
 
 
-def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", beam: int = BEAM, recall: float = RECALL) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", beam: int = BEAM, recall: float = RECALL, one_graph: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row its k nearest other rows found, by Euclidean distance.
 
-    The search begins with `beam`, which grows by half until `recall` is measured.
+    The search begins with `beam`, which grows by half until `recall` is measured. `one_graph`: one graph of all rows, not one a block.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
-    rows = clean(vectors, id_column, vector_column)
-    dtype = "<f4" if dict(rows.dtypes)["v"] == "array<float>" else "<f8"
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat, sizes = b.column(1).flatten().to_numpy(), b.column(1).value_lengths().to_numpy()
-            raw, ends = flat.astype(dtype).tobytes(), np.cumsum(sizes) * np.dtype(dtype).itemsize
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(ends) else [], pa.binary()), b.column(2)], names=["vec_id", "vec", "asks"])
-
-    asks = is_query if is_query is not None else F.lit(False)
-    flat = scratch.keep(rows.withColumn("asks", asks).mapInArrow(packed, "vec_id bigint, vec binary, asks boolean"))
+    rows, dtype = packed(vectors, is_query, id_column, vector_column)
+    flat = scratch.keep(rows)
     lengths = [r[0] for r in flat.select(F.length("vec")).distinct().limit(MOST_LENGTHS + 1).collect()]
     if len(lengths) > MOST_LENGTHS:
         raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
-    found = [_nearest_of_length(flat.where(F.length("vec") == n), dtype, scratch, k, beam, recall) for n in sorted(lengths)]
+    found = [_nearest_of_length(flat.where(F.length("vec") == n), dtype, scratch, k, beam, recall, one_graph) for n in sorted(lengths)]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
 
 
-def _nearest_of_length(flat: DataFrame, dtype: str, scratch: Scratch, k: int, beam: int, recall: float) -> DataFrame:
+def _nearest_of_length(flat: DataFrame, dtype: str, scratch: Scratch, k: int, beam: int, recall: float, one_graph: bool) -> DataFrame:
     """`nearest` over rows (vec_id, vec, asks) whose vectors have one length."""
-    # First ids of each vector: k + 1 in parts, then of those, so that no vector's rows all meet in a task.
-    part = Window.partitionBy("vec", "part").orderBy("vec_id")
-    parts = flat.select("vec", "vec_id").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("nth", F.dense_rank().over(part)).where(F.col("nth") <= k + 1).select("vec", "vec_id").distinct()
+    # First ids of each vector: k + 1 of each batch, then of those, so that no vector's rows all meet in a task.
+    parts = flat.select("vec", "vec_id").mapInArrow(_firsts(k + 1), "vec binary, vec_id bigint")
     members = parts.groupBy("vec").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("members"))
     nodes = scratch.keep(members.select(F.element_at("members", 1).alias("id"), "vec", "members"))
-    graph = build_graph(nodes.select("id", "vec"), dtype, scratch)
-    asking = scratch.keep(flat.where("asks").select("vec_id", "vec").distinct().join(nodes.select("id", "vec"), "vec").select("vec_id", "id", "vec"))
-    pools = search(asking.select("id", "vec").distinct(), nodes.select("id", "vec"), graph, dtype, scratch, k, beam, recall)
+    # Two hashes stand for a vector here, so that the nodes' vectors need not be shuffled again.
+    same = [F.xxhash64("vec").alias("one"), F.xxhash64("vec", F.lit(SEED)).alias("two")]
+    named = nodes.select(*same, "id")
+    asking = scratch.keep(flat.where("asks").select("vec_id", "vec", *same).distinct().join(named, ["one", "two"]).select("vec_id", "id", "vec"))
+    scratch.free_shuffles()
+    queries, points = asking.select("id", "vec").distinct(), nodes.select("id", "vec")
+    if one_graph:
+        best = _walked(queries, points, dtype, scratch, k, beam, recall)
+    else:
+        best = blocks.search(scratch.keep(queries), points, dtype, scratch, k + 1, beam, recall, CHANGE)
+    # A node's members have one distance, so the k + 1 first members of all nodes found, by (distance, id), hold every answer.
+    spread = best.join(nodes.select(F.col("id").alias("node"), "members"), "node").select("id", "score", F.explode("members").alias("vec_id"))
+    firsts = spread.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("score", "vec_id"))).where(F.col("nth") <= k + 1)
+    answers = firsts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("found"))
+    each = asking.select(F.col("vec_id").alias("query_id"), "id").join(answers, "id").select("query_id", F.posexplode(F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)).alias("place", "x"))
+    return each.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+
+
+def _walked(queries: DataFrame, nodes: DataFrame, dtype: str, scratch: Scratch, k: int, beam: int, recall: float) -> DataFrame:
+    """(id, node, score): the nearest nodes of each query node (id, vec) that a search of one graph finds."""
+    pools = search(queries, nodes, build_graph(nodes, dtype, scratch), dtype, scratch, k, beam, recall)
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -447,10 +475,4 @@ def _nearest_of_length(flat: DataFrame, dtype: str, scratch: Scratch, k: int, be
                 own, gap = own[: int(np.searchsorted(gap, gap[: k + 1][-1], "right"))], gap[: int(np.searchsorted(gap, gap[: k + 1][-1], "right"))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), key)), pa.array(own), pa.array(gap)], names=["id", "node", "score"])
 
-    best = pools.mapInArrow(top, "id bigint, node bigint, score double")
-    # A node's members have one distance, so the k + 1 first members of all nodes found, by (distance, id), hold every answer.
-    spread = best.join(nodes.select(F.col("id").alias("node"), "members"), "node").select("id", "score", F.explode("members").alias("vec_id"))
-    firsts = spread.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("score", "vec_id"))).where(F.col("nth") <= k + 1)
-    answers = firsts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("found"))
-    each = asking.select(F.col("vec_id").alias("query_id"), "id").join(answers, "id").select("query_id", F.posexplode(F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)).alias("place", "x"))
-    return each.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    return pools.mapInArrow(top, "id bigint, node bigint, score double")
