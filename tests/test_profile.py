@@ -143,3 +143,29 @@ def test_cleaning(spark, tmp_path):
     grid = {"columns": ["a", "b"], "data": {"1": ["x", None], "0": [1, 2]}}
     back = lakes.to_grid(lakes.from_grid(spark, grid)).collect()
     assert [r["row"] for r in back] == ['{"a":"1","b":"2"}', '{"a":"x","b":"nan"}']
+
+
+def test_simhash_of_any_characters_matches_a_plain_count(spark):
+    import hashlib
+
+    texts = ["", "^", "Customer#000000001", "ÄÖÜ ß", "日本語のテキスト", "\U0001f600\U0001f601", "a" * 3000, "é" * 3000, None]
+
+    def by_hand(text):
+        padded = f"^^{text.lower()}$$"
+        found = [int(hashlib.md5(padded[i : i + 3].encode()).hexdigest()[:7], 16) % portable.BUCKETS for i in range(len(padded) - 2)]
+        return "".join("1" if sum(row[b] for b in found) > 0 else "0" for row in portable.signs()), [float(found.count(b)) for b in range(portable.BUCKETS)]
+
+    rows = spark.createDataFrame([(t,) for t in texts], "v string").select("v", portable.simhash(F.col("v")), portable.gram_counts(F.col("v"))).collect()
+    for v, bits, vector in rows:
+        assert (bits, vector) == (by_hand(v) if v is not None else (None, None))
+
+
+def test_typed_columns_count_as_their_texts(spark):
+    """Numbers and times are counted before they are texts; those that differ as numbers only, or as texts only, come right."""
+    typed = spark.sql("""SELECT * FROM VALUES (0.0D, 1.001D, 1, TIMESTAMP'2024-01-01 10:00:00'), (-0.0D, 1.002D, 1, TIMESTAMP'2024-01-01 11:00:00'),
+    (double('NaN'), 2D, 2, NULL), (NULL, NULL, NULL, TIMESTAMP'2024-01-02 10:00:00') AS t(d, a, i, ts)""")
+    texts = {"a": "CAST(CAST(a AS DECIMAL(18, 2)) AS STRING)", "ts": "date_format(ts, 'yyyy-MM-dd')"}
+    lake = Lake.of(spark, {"t": typed}, texts=texts)
+    got = {(r.col, r.value): r.n for r in lake.value_counts().collect()}
+    assert got == {(r.col, r.value): r.n for r in lake.cells().groupBy("col", "value").agg(F.count("*").alias("n")).collect()}
+    assert got["d", "0.0"] == got["d", "-0.0"] == 1 and got["a", "1.00"] == 2 and got["ts", "2024-01-01"] == 2
