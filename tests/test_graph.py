@@ -195,3 +195,36 @@ def test_csv_lakes_keep_their_row_ids(spark, tmp_path):
     rows = lake.tables["t"].collect()
     assert sorted((r.a, r.b) for r in rows) == [("1", "x"), ("2", "y, z"), ("5", None)]
     assert {(r.a, r["__rid"]) for r in rows} == {(r.a, r["__rid"]) for r in lake.tables["t"].repartition(3).collect()} and len({r["__rid"] for r in rows}) == 3
+
+
+def test_example_rows_are_found_without_joining(known):
+    """A path of more rows than any bound is answered whole, and its example rows are counted as in the join itself."""
+    query = [{"semantic_type": "person name", "examples": ["person 1", "person 8"]}, {"semantic_type": "land", "examples": ["land y", "land z"]}]
+    for at in qbe.answers(known, query):
+        rows = {tuple(r[f"{t}_{c}"] for _, t, c in at.detected) for r in at.table.collect()}
+        assert at.rows_found == len({e for e in zip(*(q["examples"] for q in query), strict=True)} & rows) == 2 and at.cardinality == at.table.count()
+    wrong = [query[0], query[1] | {"examples": ["land z", "land y"]}]
+    assert all(a.rows_found == 0 for a in qbe.answers(known, wrong))
+
+
+def test_no_join_is_too_large_for_an_answer(spark, monkeypatch):
+    rows = [(str(i), "x", str(i)) for i in range(40)]
+    frames = {"a": spark.createDataFrame(rows, "a_id string, kind string, name_one string"), "b": spark.createDataFrame(rows, "b_id string, kind string, name_two string")}
+    monkeypatch.setattr(qbe, "MOST_ROWS", 100)
+    d = qbe.Discovery(Lake.of(spark, frames, rids={"a": "a_id", "b": "b_id"}), rules=graph.EdgeRules(semantic_type_similarity_threshold=0.99))
+    order = [{"parent": "a", "child": "b", "parent_column": "kind", "child_column": "kind", "join_type": "natural"}]
+    detected = [(0, "a", "name_one"), (1, "b", "name_two")]
+    examples = qbe.examples_of(spark, [{"examples": [str(i) for i in range(20)]}, {"examples": [str(i) for i in range(20)]}])
+    found = qbe.postings(d.lake, detected, {(t, c): True for _, t, c in detected}, examples)
+    answer = qbe.run_path(d, ["a", "b"], order, detected, found)
+    assert answer.cardinality == 400 and answer.rows_found == 20
+
+
+def test_answers_ask_for_the_paths_they_need_only(known, monkeypatch):
+    asked = []
+    count = execute.cardinality
+    monkeypatch.setattr(execute, "path_cardinalities", lambda *_: pytest.fail("all paths were counted"))
+    monkeypatch.setattr(execute, "cardinality", lambda tables, order, *more: asked.append(len(order)) or count(tables, order, *more))
+    again = qbe.Discovery(known.lake)
+    found = qbe.answers(again, [{"semantic_type": "person name", "examples": ["person 1"]}, {"semantic_type": "town", "examples": ["town b"]}])
+    assert found and found[-1].rows_found == 1 and max(asked) == 1
