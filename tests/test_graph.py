@@ -228,3 +228,30 @@ def test_answers_ask_for_the_paths_they_need_only(known, monkeypatch):
     again = qbe.Discovery(known.lake)
     found = qbe.answers(again, [{"semantic_type": "person name", "examples": ["person 1"]}, {"semantic_type": "town", "examples": ["town b"]}])
     assert found and found[-1].rows_found == 1 and max(asked) == 1
+
+
+def test_blocks_of_vectors_score_like_columns(spark, monkeypatch):
+    """Copies tie by id, odd vectors take part, and slices and batches leave no pair out."""
+    import random
+
+    from joinscout.functions import vectors
+
+    rng = random.Random(1)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    rows += [(60 + i, rows[i][1]) for i in range(20)] + [(90, [0.0] * 4), (91, None), (92, [1.0, None, 2.0, 3.0]), (93, [1.0, 2.0]), (94, [float("nan")] * 4)]
+    every = spark.createDataFrame(rows, "id long, v array<double>")
+    a, b = every.where("id % 7 = 0 OR id > 88").toDF("id1", "v1"), every.toDF("id2", "v2")
+    monkeypatch.setattr(similarity, "SLICE_BYTES", 4 * 8 * 5)
+    monkeypatch.setattr(similarity, "PAIRS", 30)
+
+    def exact(frame):
+        return sorted(repr(tuple(r)) for r in frame.collect())
+
+    each = a.join(b, F.col("id1") != F.col("id2"))
+    assert exact(similarity.normalized_euclid(a, b, 5)) == exact(each.select("id1", "id2", F.round(vectors.normalized_euclid_similarity(F.col("v1"), F.col("v2")), 5).alias("score")))
+    for measure, score, by in (("euclid", vectors.euclid, F.asc), ("cosine", vectors.cosine, F.desc)):
+        from pyspark.sql import Window
+
+        nth = F.row_number().over(Window.partitionBy("id1").orderBy(by("score"), "id2"))
+        want = each.select("id1", "id2", score(F.col("v1"), F.col("v2")).alias("score")).withColumn("nth", nth).where("nth <= 7")
+        assert exact(similarity.top_k(a, b, 7, measure, skip_same=True)) == exact(want)
