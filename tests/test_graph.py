@@ -255,3 +255,12 @@ def test_blocks_of_vectors_score_like_columns(spark, monkeypatch):
         nth = F.row_number().over(Window.partitionBy("id1").orderBy(by("score"), "id2"))
         want = each.select("id1", "id2", score(F.col("v1"), F.col("v2")).alias("score")).withColumn("nth", nth).where("nth <= 7")
         assert exact(similarity.top_k(a, b, 7, measure, skip_same=True)) == exact(want)
+
+
+def test_a_workload_counts_each_path_once(known, monkeypatch):
+    asked = []
+    count = execute.cardinality
+    monkeypatch.setattr(execute, "cardinality", lambda tables, order, *more: asked.append(str(order)) or count(tables, order, *more))
+    monkeypatch.setattr(workload.query_from_path, "__defaults__", (0, 1, None))  # every path is too large
+    assert workload.workload(known, 2, 2, most_failures=40) == []
+    assert len(asked) == len(set(asked)) > 0
